@@ -6,6 +6,8 @@ repositories, prompts and so on. One SQL text serves both engines.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("documents", "embeddings", "conversations", "pages", "customer")
@@ -102,9 +104,11 @@ SELECT page_id, CASE page_id % 8 WHEN 0 THEN concat('https://github.com/o', CAST
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the Parquet tables of ``sf_dir``."""
+    sql = VIEWS[name]
     for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(VIEWS[name])
+        if re.search(rf"\b(FROM|JOIN) {table}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(sql)
 
 
 def ctes(*names: str) -> str:

@@ -9,6 +9,7 @@ needs no shuffle.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import Callable, Iterable, Mapping
 
 import pyarrow as pa
@@ -42,14 +43,34 @@ _JAVA_CLASSES = (
 _LITERAL_BRACE = re.compile(r"(?<![\\pPxN])\{(?!\d*,?\d*\})")
 
 
+# A run of words or spaces that something disjoint must follow gains nothing from giving
+# characters back, so it may be possessive; and a match that starts with a word run
+# fails or succeeds alike from anywhere within the word, so one try per word is enough.
+_NO_BACKTRACKING = (
+    (r"\w+\s", r"\w++\s"), (r"\w+\(", r"\w++\("), (r"\s+\w", r"\s++\w"),
+    (r"\s*\(", r"\s*+\("), (r"\s*{", r"\s*+{"), (r"(\w++", r"((?<!\w)\w++"),
+)
+
+
 def java_pattern(pattern: str) -> str:
     """A pattern in Python ``re`` syntax, rewritten to match the same text in Java."""
+    for plain, eager in _NO_BACKTRACKING:
+        pattern = pattern.replace(plain, eager)
     pattern = _LITERAL_BRACE.sub(r"\\{", pattern)
     for ours, theirs in _JAVA_CLASSES:
         pattern = pattern.replace(ours, theirs)
     return "(?d)" + pattern
 
 
+def _may_match(pattern: str) -> Column:
+    """Whether the text holds every literal the pattern insists on; a plain substring test."""
+    if pattern not in FUNCTION_PATTERNS.values():
+        return F.lit(True)
+    words = re.findall(r"(?<!\\)\b[a-z]{2,}", pattern.replace(r"[\s\S]*?", " "))
+    marks = [mark for mark, form in (("(", r"\("), ("{", "{"), ("}", "}")) if form in pattern]
+    return reduce(lambda a, b: a & b, (F.col("code").contains(x) for x in [*words, *marks]))
+
+
 def with_language(raw_files: DataFrame) -> DataFrame:
     """Add ``language`` from the (case-sensitive) suffix and ``repo`` from the name; drop unknown files."""
     return raw_files.withColumns({
@@ -64,7 +85,7 @@ def _matches(patterns: Mapping[str, str]) -> list[Column]:
     for language, pattern in patterns.items():
         by_pattern.setdefault(pattern, []).append(language)
     return [
-        F.when(F.col("language").isin(*languages), F.transform(
+        F.when(F.col("language").isin(*languages) & _may_match(pattern), F.transform(
             F.regexp_extract_all("code", F.lit(java_pattern(pattern)), F.lit(1)),
             lambda match, i: _piece(F.concat(F.lit(MATCH_NAME_PREFIX), i.cast("string")), match)))
         for pattern, languages in by_pattern.items()

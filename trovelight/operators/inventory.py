@@ -13,6 +13,7 @@ from ..functions.languages import language_of
 from ..functions.text import count_lines
 from ..functions.urls import parse_repo_url
 from ..schemas import FILE_METADATA
+from ..session import cut_lineage
 from ..settings import DEFAULTS
 
 REPO_KEYS = ("owner", "repo_name")
@@ -100,8 +101,9 @@ def repo_documents(inventory: DataFrame, keys: tuple[str, ...] = REPO_KEYS,
     larger one is spread by path hash over several pages of about that size, so no
     single array grows with the repository. ``pages`` tells how many there are.
     """
-    summary = repo_summary(inventory, keys).withColumn(
-        "pages", F.greatest(F.ceil(F.col("indexed_files") / page_files), F.lit(1)))
+    # Read twice below, so stored once: one small row per repository.
+    summary = cut_lineage(repo_summary(inventory, keys).withColumn(
+        "pages", F.greatest(F.ceil(F.col("indexed_files") / page_files), F.lit(1))))
     # One row per (repository, page) with the header; files attach by (keys, page).
     slots = summary.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)))
     fields = [f for f in FILE_METADATA.fieldNames() if f in inventory.columns]

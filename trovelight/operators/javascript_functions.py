@@ -1,8 +1,8 @@
 """Function declarations of a JavaScript source file.
 
-One regular expression cuts the text into the few tokens that matter (comments,
-strings, templates, brackets, words); a stack of open brackets then closes each
-``function name(...) {...}`` at its own brace.
+A search jumps from one bracket, quote, slash or ``function`` to the next; a stack of
+open brackets closes each ``function name(...) {...}`` at its own brace. What precedes
+``function`` tells a declaration from an expression.
 """
 
 from __future__ import annotations
@@ -10,24 +10,146 @@ from __future__ import annotations
 import re
 from typing import Iterator
 
-_NAME = r"[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*"
-_CODE = re.compile(
-    rf"""(?P<skip>\s+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)
-    |(?P<string>"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')
-    |(?P<word>\#?{_NAME})
-    |(?P<number>\.?\d[\w.]*)
-    |(?P<arrow>=>)|(?P<step>\+\+|--)
-    |(?P<mark>[\s\S])""",
-    re.VERBOSE,
-)
-_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
-_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?")
-_CLOSERS = {")": "(", "]": "[", "}": "{"}
-# After these words an operand follows, so ``function`` starts an expression.
+_WORD = r"[\w$\u0080-\U0010ffff]"
+_SKIP = r"(?:\s|/\*[\s\S]*?\*/|//[^\n\r\u2028\u2029]*)*"
+_STOP = re.compile(rf"""["'`/(){{}}\[\]]|(?<![\w$.#\u0080-\U0010ffff])function(?!{_WORD})""")
+_HEAD = re.compile(rf"function{_SKIP}(?P<name>(?!\d){_WORD}+){_SKIP}\(")
+_BODY = re.compile(rf"{_SKIP}\{{")
+_STRING = re.compile(r"""(["'])(?:(?!\1)[^\\\n]|\\[\s\S])*\1""")
+_COMMENT = re.compile(r"//[^\n\r\u2028\u2029]*|/\*[\s\S]*?(?:\*/|\Z)")
+_REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/\w*")
+_TEMPLATE = re.compile(r"(?:[^`\\$]+|\\[\s\S]|\$(?!\{))*(`|\$\{|\Z)")
+_TAIL = re.compile(rf"(?:{_WORD}+|=>|\+\+|--|\S)\Z")
+_CASE = re.compile(r"\s*(?:case\b|default\s*\Z)")
+
+_CLOSES = {")": "(", "]": "[", "}": "{"}
+_OPERAND = '"'  # stands for a string, template or regular expression just read
+# Words that want an operand next, so ``function`` after them is an expression.
 _BEFORE_OPERAND = frozenset(
-    "return typeof new in of void delete throw await yield case instanceof extends".split()
-)
-_OPERAND_END = frozenset(("word", "number", "string", "step"))
+    "return typeof new in of void delete throw await yield case instanceof extends".split())
+_BEFORE_STATEMENT = frozenset("else do export default".split())
+
+
+class _Scan:
+    def __init__(self, code: str):
+        self.code = code
+        self.last, self.last_end, self.newline = "", 0, True
+        self.stack: list[tuple[str, tuple | None]] = []
+        self.found: list[tuple[int, int, str]] = []
+
+    def run(self) -> Iterator[tuple[str, str]]:
+        at, size = 0, len(self.code)
+        while at < size:
+            if self.stack and self.stack[-1][0] == "`":
+                at = self.template(at)
+                continue
+            stop = _STOP.search(self.code, at)
+            if stop is None:
+                break
+            at = self.token(stop.group(), stop.start())
+        for begin, end, name in sorted(self.found):
+            yield name, self.code[begin:end]
+
+    def consumed(self, token: str, end: int) -> int:
+        self.last, self.last_end, self.newline = token, end, False
+        return end
+
+    def before(self, at: int) -> tuple[str, bool]:
+        """The token before ``at``, and whether a line break lies between."""
+        gap = self.code[self.last_end:at]
+        text = gap.rstrip()
+        broken = "\n" in gap[len(text):] or "\r" in gap[len(text):]
+        if not text:
+            return self.last, broken or self.newline
+        return _TAIL.search(text[-64:]).group(), broken
+
+    def token(self, text: str, at: int) -> int:
+        if text == "function":
+            return self.function(at)
+        if text in "\"'":
+            string = _STRING.match(self.code, at)
+            return self.consumed(_OPERAND, string.end()) if string else at + 1
+        if text == "/":
+            return self.slash(at)
+        if text in _CLOSES:
+            return self.close(text, at)
+        self.stack.append((text, None))
+        return self.consumed(text, at + 1)
+
+    def slash(self, at: int) -> int:
+        comment = _COMMENT.match(self.code, at)
+        previous, broken = self.before(at)
+        if comment:  # leaves the token before it in place
+            self.consumed(previous, comment.end())
+            self.newline = broken or "\n" in comment.group()
+            return comment.end()
+        # After "<" a slash closes a markup tag.
+        literal = _REGEX.match(self.code, at) if _wants_operand(previous) and previous != "<" else None
+        return self.consumed(_OPERAND, literal.end()) if literal else at + 1
+
+    def template(self, at: int) -> int:
+        piece = _TEMPLATE.match(self.code, at)
+        if piece is None:
+            return len(self.code)
+        if piece.group(1) == "${":
+            self.stack.append(("${", None))
+            return self.consumed("(", piece.end())
+        self.stack.pop()
+        return self.consumed(_OPERAND, piece.end())
+
+    def function(self, at: int) -> int:
+        head = _HEAD.match(self.code, at)
+        begin = at
+        previous, broken = self.before(at)
+        if previous == "async" and not broken:
+            begin = self.code.rfind("async", 0, at)
+            previous, broken = self.before(begin)
+        if head is None or not self.is_statement(previous, broken, begin):
+            return at + len("function")
+        self.stack.append(("(", ("parameters", begin, head["name"])))
+        return self.consumed("(", head.end())
+
+    def is_statement(self, previous: str, broken: bool, at: int) -> bool:
+        if previous in ("", ";", "{", "}", ")") or previous in _BEFORE_STATEMENT:
+            return True
+        if previous == ":":
+            colon = self.code.rfind(":", 0, at)
+            opened = max(self.code.rfind(mark, 0, colon) for mark in ";{}")
+            return _CASE.match(self.code, opened + 1, colon) is not None
+        if previous == "return" or not _wants_operand(previous):
+            return broken  # a new line ends the statement before it
+        return False
+
+    def close(self, text: str, at: int) -> int:
+        """Pop to the bracket ``text`` closes; an unmatched closer changes nothing."""
+        for depth in range(len(self.stack) - 1, -1, -1):
+            mark, owner = self.stack[depth]
+            if mark == _CLOSES[text] or (mark == "${" and text == "}"):
+                del self.stack[depth:]
+                return self.closed(owner, text, at + 1)
+            if mark == "${":
+                break
+        return self.consumed(text, at + 1)
+
+    def closed(self, owner: tuple | None, text: str, end: int) -> int:
+        if owner is not None:
+            part, begin, name = owner
+            if part == "body":
+                self.found.append((begin, end, name))
+            else:
+                body = _BODY.match(self.code, end)
+                if body:
+                    self.stack.append(("{", ("body", begin, name)))
+                    return self.consumed("{", body.end())
+        return self.consumed(text, end)
+
+
+def _wants_operand(previous: str) -> bool:
+    if previous in (_OPERAND, ")", "]", "++", "--"):
+        return False
+    if previous and re.match(_WORD, previous):
+        return previous in _BEFORE_OPERAND or previous in _BEFORE_STATEMENT
+    return True
 
 
 def javascript_functions(code: str) -> Iterator[tuple[str, str]]:
@@ -36,115 +158,4 @@ def javascript_functions(code: str) -> Iterator[tuple[str, str]]:
     Arrow functions, methods, generators and function expressions are left out, as is
     a declaration whose body never closes.
     """
-    found: list[tuple[int, int, str]] = []
-    stack: list[list] = []  # [bracket, what it closes: ("params" or "body", declaration) or None]
-    previous: tuple[str, str] = ("start", "")  # kind and text of the last significant token
-    pending: list | None = None  # [start, name, part awaited]: a declaration still incomplete
-    case_open, fresh_line = False, True
-    async_at: tuple[int, tuple[str, str], bool] | None = None
-    at, size = 0, len(code)
-    while at < size:
-        if stack and stack[-1][0] == "`":  # inside a template literal
-            piece = _TEMPLATE.match(code, at)
-            at = piece.end()
-            if piece.group(1) is None:
-                at = size
-            elif piece.group(1) == "`":
-                stack.pop()
-                previous = ("string", "`")
-            else:
-                stack.append(["${", None])
-                previous = ("mark", "(")
-            continue
-        if code[at] == "/" and _operand_expected(previous):
-            literal = _REGEX.match(code, at)
-            if literal and code[at + 1] not in "/*":
-                at, previous = literal.end(), ("string", "/")
-                fresh_line = False
-                continue
-        token = _CODE.match(code, at)
-        kind, text, start = token.lastgroup, token.group(), at
-        at = token.end()
-        if kind == "skip":
-            fresh_line = fresh_line or "\n" in text or "\r" in text
-            continue
-        if pending is not None and pending[2] == "name":
-            if kind == "word":
-                pending[1], pending[2] = text, "params"
-            else:
-                pending = None  # anonymous or generator
-        if kind == "word" and text == "async":
-            async_at = (start, previous, fresh_line)
-        elif kind == "word" and text == "function":
-            begin, before, own_line = start, previous, fresh_line
-            if async_at is not None and previous == ("word", "async") and not fresh_line:
-                begin, before, own_line = async_at
-            if _declares(before, own_line):
-                pending = [begin, "", "name"]
-        elif kind == "word" and text in ("case", "default"):
-            case_open = previous[1] != "export"
-        elif kind == "mark":
-            if text == "`":
-                stack.append(["`", None])
-                fresh_line = False
-                continue
-            if text in "([{":
-                owner = None
-                if pending is not None and pending[2] == "params" and text == "(":
-                    owner, pending = ("params", pending), None
-                elif pending is not None and pending[2] == "body" and text == "{":
-                    owner, pending = ("body", pending), None
-                elif pending is not None:
-                    pending = None
-                stack.append([text, owner])
-            elif text in _CLOSERS:
-                opened = _close(stack, _CLOSERS[text], text)
-                if opened is not None and opened[1]:
-                    part, item = opened[1]
-                    if part == "params":
-                        pending = [item[0], item[1], "body"]
-                    else:
-                        found.append((item[0], at, item[1]))
-            elif text == ":" and case_open:
-                case_open, text = False, ";"  # ends a case label: a statement follows
-            elif pending is not None:
-                pending = None
-        previous, fresh_line = (kind, text), False
-    for begin, end, name in sorted(found):
-        yield name, code[begin:end]
-
-
-def _close(stack: list[list], opener: str, text: str) -> list | None:
-    """Pop to the bracket that ``text`` closes; an unmatched closer changes nothing."""
-    wanted = {opener, "${"} if text == "}" else {opener}
-    for depth in range(len(stack) - 1, -1, -1):
-        if stack[depth][0] in wanted:
-            opened = stack[depth]
-            del stack[depth:]
-            return opened
-        if stack[depth][0] in ("`", "${"):
-            return None
-    return None
-
-
-def _operand_expected(previous: tuple[str, str]) -> bool:
-    kind, text = previous
-    if kind == "word":
-        return text in _BEFORE_OPERAND or text in ("else", "do")
-    return kind not in _OPERAND_END and text not in (")", "]")
-
-
-def _declares(previous: tuple[str, str], fresh_line: bool) -> bool:
-    """Whether ``function`` after this token opens a statement rather than an operand."""
-    kind, text = previous
-    if kind == "start":
-        return True
-    if kind == "word":
-        if text == "return":
-            return fresh_line
-        if text in ("else", "do", "export", "default"):
-            return True
-        return text not in _BEFORE_OPERAND and fresh_line
-    if kind in ("number", "string", "step"):
-        return fresh_line
-    return text in (";", "{", "}", ")") or (text == "]" and fresh_line)
+    return _Scan(code).run() if "function" in code else iter(())

@@ -17,6 +17,8 @@ def python_functions(code: str) -> Iterator[tuple[str, str]]:
     The source runs from ``def`` (decorators left out) to the end of the body. Text
     that does not parse yields nothing.
     """
+    if "def" not in code:
+        return
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")

@@ -40,23 +40,30 @@ def select_repos(repos: DataFrame, license: str = DEFAULTS.LICENSE, stars: int =
     )
 
 
-def candidate_files(tree: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+def candidate_files(tree: DataFrame, selected: DataFrame | None = None,
+                    max_repos: int | None = None) -> DataFrame:
     """Tree entries whose path ends in the extension of the language asked for.
 
-    With ``selected`` (output of :func:`select_repos`: languages x max_repos rows), an
-    entry is kept for each language its repository was selected under; without it,
-    for the language its own extension names.
+    With ``selected`` (output of :func:`select_repos`), an entry is kept for each language
+    its repository was selected under; without it, for the language its own extension
+    names. ``max_repos`` is the rank limit ``selected`` was made with: it bounds the table
+    at known languages x ``max_repos`` rows, and a table proven small is broadcast.
     """
     tail = paths.last_dot_part(F.col("path"))
     if selected is None:
         return tree.withColumn("language", language_of_exact(tail)).filter(F.col("language").isNotNull())
-    wanted = selected.select("owner", "repo_name", "language")
-    return tree.join(wanted, ["owner", "repo_name"]).filter(tail == extension_of(F.col("language")))
+    wanted = selected.filter(F.col("language").isin(*EXTENSION_LANGUAGE.values())).select(
+        "owner", "repo_name", "language", "rank", extension_of(F.col("language")).alias("_ext"))
+    if max_repos is not None and max_repos * len(EXTENSION_LANGUAGE) <= DEFAULTS.BROADCAST_REPO_ROWS:
+        wanted = F.broadcast(wanted.filter(F.col("rank") <= max_repos))
+    return tree.withColumn("_ext", tail).join(
+        wanted.drop("rank"), ["owner", "repo_name", "_ext"]).drop("_ext")
 
 
 def select_files(tree: DataFrame, selected: DataFrame | None = None,
                  max_files: int = DEFAULTS.MAX_FILES_PER_REPO,
-                 max_bytes: int = DEFAULTS.MAX_DOWNLOAD_BYTES) -> DataFrame:
+                 max_bytes: int = DEFAULTS.MAX_DOWNLOAD_BYTES,
+                 max_repos: int | None = None) -> DataFrame:
     """First files of each repository in tree order, then the size gate.
 
     The cap comes first: an oversized file uses up a place. ``tree`` carries
@@ -64,7 +71,7 @@ def select_files(tree: DataFrame, selected: DataFrame | None = None,
     """
     in_tree_order = Window.partitionBy("language", "owner", "repo_name").orderBy("ordinal", "path")
     capped = (
-        candidate_files(tree, selected)
+        candidate_files(tree, selected, max_repos)
         .select("language", "owner", "repo_name", "ordinal", "path", "size_bytes")
         .withColumn("position", F.row_number().over(in_tree_order))
         .filter(F.col("position") <= max_files)

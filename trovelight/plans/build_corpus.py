@@ -21,7 +21,7 @@ def select_raw_files(repos: DataFrame, tree: DataFrame, contents: DataFrame,
     """
     chosen = select_files(
         tree, select_repos(repos, settings.LICENSE, settings.STARS, settings.MAX_REPOS),
-        settings.MAX_FILES_PER_REPO, settings.MAX_DOWNLOAD_BYTES)
+        settings.MAX_FILES_PER_REPO, settings.MAX_DOWNLOAD_BYTES, settings.MAX_REPOS)
     return chosen.join(contents.select("owner", "repo_name", "path", "code"),
                        ["owner", "repo_name", "path"]).select("language", "file_name", "code")
 

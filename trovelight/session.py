@@ -53,6 +53,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is stored at ``path``, on whichever file system it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def cut_lineage(rows: DataFrame) -> DataFrame:
     """A reliable checkpoint: stored in the shared folder, so lost executors do not matter."""
     context = rows.sparkSession.sparkContext

@@ -31,6 +31,7 @@ class Settings:
     BROADCAST_QUERY_BYTES: int = 8 << 20
     GRID_BLOCK_BYTES: int = 32 << 20
     BROADCAST_HIT_ROWS: int = 100_000
+    BROADCAST_REPO_ROWS: int = 100_000
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> "Settings":

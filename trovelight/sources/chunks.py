@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import CHUNK, CHUNK_COLUMNS
+from ..session import path_exists
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -15,12 +15,9 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def load_chunk_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Chunk JSON lines under the fixed schema; a missing path is a FileNotFoundError."""
-    try:
-        return spark.read.schema(CHUNK).json(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Chunk file not found: {path}") from error
-        raise
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"Chunk file not found: {path}")
+    return spark.read.schema(CHUNK).json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -12,12 +12,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.search import search
 from ..operators.upsert import last_by_key, upsert
 from ..schemas import VECTOR_POINT
+from ..session import path_exists
 from ..settings import DEFAULTS
 
 _LOG = "seq long, kind string, folder string, rows long, dim int, metric string, encoder string"
@@ -56,12 +56,9 @@ class VectorTable:
 
     def _log(self) -> list:
         """The log: one row per load since creation, so small enough for the driver."""
-        try:
-            return self.spark.read.schema(_LOG).json(f"{self.path}/log").orderBy("seq").collect()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
+        if not path_exists(self.spark, f"{self.path}/log"):
+            return []
+        return self.spark.read.schema(_LOG).json(f"{self.path}/log").orderBy("seq").collect()
 
     def _live(self) -> tuple[list, list]:
         """Last compaction (none or one entry), and the loads after it."""
@@ -80,21 +77,18 @@ class VectorTable:
         A later ``seq`` wins over an earlier one. Vectors of another length are an error.
         """
         seq = self.next_seq() if seq is None else seq
-        if any(r["seq"] == seq and r["kind"] in ("load", "compact") for r in self._log()) or self._merged(seq):
+        base, loads = self._live()
+        if (base and seq <= base[0]["seq"]) or any(r["seq"] == seq for r in loads):
             return LoadResult(seq, 0, True)
         latest = last_by_key(points, "chunk_id", F.col("path") if order is None else order)
         sized = F.when(F.size("vector") == self.dim, F.col("vector")).otherwise(
             F.raise_error(F.lit(f"vector length differs from the table's {self.dim}")).cast("array<float>"))
         checked = latest.withColumn("vector", sized).select(*VECTOR_POINT.fieldNames())
         rows = self._write(checked, "load", seq)
-        if len(self._live()[1]) >= compact_after:
+        if len(loads) + 1 >= compact_after:
             self.compact()
         return LoadResult(seq, rows, False)
 
-    def _merged(self, seq: int) -> bool:
-        base, _ = self._live()
-        return bool(base) and seq <= base[0]["seq"]
-
     def _write(self, points: DataFrame, kind: str, seq: int) -> int:
         """Folders per language, files sorted by repository and path within.
 
