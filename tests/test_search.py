@@ -115,10 +115,17 @@ def test_vectors_alone_reach_python_and_hits_are_broadcast(spark, tmp_path):
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
 
 
-def test_large_query_tables_are_not_collected(spark, monkeypatch):
+def test_layout_follows_the_measured_size(spark):
     queries = spark.createDataFrame([(i, None, [1.0, float(i)]) for i in range(50)], QUERIES)
-    assert search._collect_if_small(queries, 50 * 2 * 8).num_rows == 50
-    assert search._collect_if_small(queries, 50 * 2 * 8 - 1) is None
+    points = spark.createDataFrame([("a", "go", [1.0, 0.0])], POINTS)
+    size = search.measure(queries)
+    assert (size.rows, size.dim, size.bytes) == (50, 2, 800)
+
+    def plan(limit):
+        return search.best_hits(queries, points, broadcast_bytes=limit)._jdf.queryExecution().executedPlan().toString()
+
+    assert "MapInArrow" in plan(800) and "CoGroup" not in plan(800)
+    assert "CoGroup" in plan(799) and "MapInArrow" not in plan(799)
 
 
 def test_k_and_metric_are_checked(spark):

@@ -53,6 +53,19 @@ def test_many_loads_are_compacted(spark, tmp_path):
     assert contents(table) == {"a": "3", **{f"id{n}": "x" for n in range(4)}}
 
 
+def test_small_loads_are_merged_without_rewriting_the_base(spark, tmp_path):
+    table = VectorTable.create(spark, str(tmp_path / "t"), 2)
+    table.load(points(spark, *[(f"b{i}", "go", "p", "x") for i in range(100)]))
+    table.compact()
+    for n in range(5):
+        table.load(points(spark, ("b0", "go", "p", str(n)), (f"new{n}", "c", "p", "y")), compact_after=2)
+    base, loads = table._live()
+    assert base[0]["seq"] == 0 and len(loads) == 1 and loads[0]["kind"] == "merge"
+    got = contents(table)
+    assert len(got) == 105 and got["b0"] == "4" and got["new0"] == "y"
+    assert table.load(points(spark, ("b0", "go", "p", "late")), seq=3).skipped
+
+
 def test_create_is_idempotent_and_checked(spark, tmp_path):
     path = str(tmp_path / "t")
     with pytest.raises(FileNotFoundError):

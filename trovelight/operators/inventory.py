@@ -109,6 +109,9 @@ def repo_documents(inventory: DataFrame, keys: tuple[str, ...] = REPO_KEYS,
     fields = [f for f in FILE_METADATA.fieldNames() if f in inventory.columns]
     placed = indexed_files(inventory).join(summary.select(*keys, "pages"), list(keys)).withColumn(
         "page", F.pmod(F.xxhash64("path"), F.col("pages")))
+    # Without this the join's partitioning by repository would serve the grouping too,
+    # and all pages of a repository would meet in one task.
+    placed = placed.repartition(*keys, "page")
     grouped = placed.groupBy(*keys, "page").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("files"))
     return slots.join(grouped, [*keys, "page"], "left").withColumn(

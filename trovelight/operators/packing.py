@@ -40,8 +40,8 @@ def pack_context(hits: DataFrame, max_chars: int = CONTEXT_MAX_CHARS,
 
 
 def build_prompts(queries: DataFrame, packed: DataFrame) -> DataFrame:
-    """The full prompt text of every query that has hits."""
-    joined = queries.select("query_id", "query").join(packed, "query_id")
+    """The full prompt text of every query that has hits, next to the query's own columns."""
+    joined = queries.drop("vector").join(packed, "query_id")
     return joined.withColumn("prompt", assemble_prompt(F.col("context"), F.col("query")))
 
 

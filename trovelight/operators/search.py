@@ -198,12 +198,14 @@ def _grid_job(k: int, threshold: float | None, metric: str):
 def best_hits(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
               threshold: float | None = DEFAULTS.SCORE_THRESHOLD, metric: str = "cosine",
               broadcast_bytes: int = DEFAULTS.BROADCAST_QUERY_BYTES,
-              block_bytes: int = DEFAULTS.GRID_BLOCK_BYTES) -> DataFrame:
+              block_bytes: int = DEFAULTS.GRID_BLOCK_BYTES,
+              size: "QuerySize | None" = None) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the k best points of every query.
 
     ``queries(query_id, language, vector)``; a null or '' language searches all points.
     Cosine keeps scores at or above ``threshold``; ``l2`` ranks by ascending squared
-    distance and takes no threshold. Equal scores rank by ``chunk_id``.
+    distance and takes no threshold. Equal scores rank by ``chunk_id``. Fewer, larger
+    read tasks (``spark.sql.files.maxPartitionBytes``) mean fewer partial results.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -211,38 +213,46 @@ def best_hits(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
         raise ValueError("k must be positive")
     threshold = threshold if metric == "cosine" else None
     asked = queries.select("query_id", "language", "vector")
+    size = size or measure(asked)
     pool = points.select("chunk_id", "language", "vector")
     schema = T.StructType([
         asked.schema["query_id"],
         T.StructField("chunk_id", T.StringType()),
         T.StructField("score", T.DoubleType()),
     ])
-    table = _collect_if_small(asked, broadcast_bytes)
-    if table is not None:
-        shared = points.sparkSession.sparkContext.broadcast(QueryMatrix.from_table(table))
+    if size.bytes <= broadcast_bytes:
+        shared = points.sparkSession.sparkContext.broadcast(QueryMatrix.from_table(asked.toArrow()))
         partial = pool.mapInArrow(_broadcast_job(shared, k, threshold, metric), schema)
     else:
-        partial = _grid(asked, pool, block_bytes, schema, _grid_job(k, threshold, metric))
+        partial = _grid(asked, pool, size, block_bytes, schema, _grid_job(k, threshold, metric))
     score = F.desc("score") if metric == "cosine" else F.asc("score")
     best_first = Window.partitionBy("query_id").orderBy(score, "chunk_id")
     return partial.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
 
-def _collect_if_small(asked: DataFrame, limit_bytes: int) -> pa.Table | None:
-    """The query table, fetched only after its row count and width prove it small."""
-    size = asked.agg(
+@dataclass(frozen=True)
+class QuerySize:
+    rows: int
+    dim: int
+
+    @property
+    def bytes(self) -> int:
+        return self.rows * self.dim * 8
+
+
+def measure(queries: DataFrame) -> QuerySize:
+    """Row count and vector length of a query table, found before anything is fetched."""
+    size = queries.agg(
         F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("dim")).first()
-    if size["rows"] * (size["dim"] or 1) * 8 > limit_bytes:
-        return None
-    return asked.toArrow()
+    return QuerySize(size["rows"], size["dim"] or 0)
 
 
-def _grid(asked: DataFrame, pool: DataFrame, block_bytes: int, schema: T.StructType, job) -> DataFrame:
-    """Every block of queries with every block of points, each pair in its own group."""
+def _grid(asked: DataFrame, pool: DataFrame, size: QuerySize, block_bytes: int,
+          schema: T.StructType, job) -> DataFrame:
+    """Every block of queries with every block of points, each pair in its own group.
 
-    def blocks(side: DataFrame) -> int:
-        size = side.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("dim")).first()
-        return max(1, math.ceil(size["rows"] * (size["dim"] or 1) * 8 / block_bytes))
+    Blocks are cut by a hash of the id, so their size does not follow any key's popularity.
+    """
 
     def placed(side: DataFrame, key: Column, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return side.withColumns({
@@ -250,7 +260,8 @@ def _grid(asked: DataFrame, pool: DataFrame, block_bytes: int, schema: T.StructT
             other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))),
         })
 
-    n_q, n_p = blocks(asked), blocks(pool)
+    n_q = max(1, math.ceil(size.bytes / block_bytes))
+    n_p = max(1, math.ceil(pool.count() * size.dim * 8 / block_bytes))
     left = placed(pool, F.col("chunk_id"), "_p", n_p, "_q", n_q)
     right = placed(asked, F.col("query_id"), "_q", n_q, "_p", n_p)
     return left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInArrow(job, schema)
@@ -273,7 +284,8 @@ def search(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
            payload: tuple[str, ...] = ("language", "repo", "path", "function_name", "code"),
            **limits: int) -> DataFrame:
     """Ranked hits with their payload: ``query_id, rank, score, chunk_id, <payload>``."""
-    hits = best_hits(queries, points, k, threshold, metric, **limits)
+    size = measure(queries)
+    hits = best_hits(queries, points, k, threshold, metric, size=size, **limits)
     if payload:
-        hits = attach_payload(hits, points, list(payload), queries.count() * k)
+        hits = attach_payload(hits, points, list(payload), size.rows * k)
     return hits.select("query_id", "rank", "score", "chunk_id", *payload)

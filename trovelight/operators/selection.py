@@ -91,6 +91,7 @@ def scrape_summary(raw_files: DataFrame) -> DataFrame:
 def pending_languages(spark: SparkSession, raw_files: DataFrame,
                       required_repos: int = DEFAULTS.MAX_REPOS) -> DataFrame:
     """Known languages whose folder does not yet hold enough repositories."""
-    known = spark.createDataFrame([(v,) for v in EXTENSION_LANGUAGE.values()], "language string")
+    names = F.array(*[F.lit(v) for v in EXTENSION_LANGUAGE.values()])
+    known = spark.range(1).select(F.explode(names).alias("language"))
     done = scrape_summary(raw_files).filter(F.col("repos") >= required_repos).select("language")
     return known.join(done, "language", "left_anti")

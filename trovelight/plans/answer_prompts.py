@@ -14,7 +14,7 @@ from ..settings import DEFAULTS
 
 def pack_answers(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
                  threshold: float | None = DEFAULTS.SCORE_THRESHOLD, **limits: int) -> DataFrame:
-    """Encoded queries to ``query_id, query, context, packed, chunk_ids, prompt``.
+    """Encoded queries to their own columns plus ``context, packed, chunk_ids, prompt``.
 
     Queries without hits drop out.
     """
@@ -31,5 +31,4 @@ def answer_prompts(prompts: DataFrame, points: DataFrame,
     model should run only once per prompt.
     """
     queries = cut_lineage(embed_prompts(accept_prompts(prompts), encoder))
-    return pack_answers(queries, points, k, threshold, **limits).join(
-        queries.select("query_id", "language"), "query_id")
+    return pack_answers(queries, points, k, threshold, **limits)

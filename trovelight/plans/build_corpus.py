@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..fixed_values import EXTENSION_LANGUAGE
 from ..operators.chunking import chunk_files, latest_chunks
 from ..operators.embedding import Encoder, HashingEncoder, embed_chunks
 from ..operators.selection import select_files, select_repos
+from ..schemas import CHUNK, CHUNK_COLUMNS
 from ..settings import DEFAULTS, Settings
-from ..sources.chunks import read_chunks, write_chunks
 from ..sources.vector_table import LoadResult, VectorTable
 
 
@@ -22,6 +23,9 @@ def select_raw_files(repos: DataFrame, tree: DataFrame, contents: DataFrame,
     chosen = select_files(
         tree, select_repos(repos, settings.LICENSE, settings.STARS, settings.MAX_REPOS),
         settings.MAX_FILES_PER_REPO, settings.MAX_DOWNLOAD_BYTES, settings.MAX_REPOS)
+    most = len(EXTENSION_LANGUAGE) * settings.MAX_REPOS * settings.MAX_FILES_PER_REPO
+    if most <= settings.BROADCAST_REPO_ROWS:  # then contents are probed where they lie
+        chosen = F.broadcast(chosen)
     return chosen.join(contents.select("owner", "repo_name", "path", "code"),
                        ["owner", "repo_name", "path"]).select("language", "file_name", "code")
 
@@ -30,12 +34,13 @@ def build_corpus(raw_files: DataFrame, table: VectorTable, chunk_path: str,
                  encoder: Encoder | HashingEncoder | None = None) -> LoadResult:
     """Chunk, store the chunks, embed what was stored, load.
 
-    The chunk file sits between the two halves, so changing the encoder does not parse
-    the sources again and a lost executor does not either.
+    The stored chunks (Parquet) sit between the two halves, so changing the encoder does
+    not parse the sources again and a lost executor does not either. They are unique by
+    id already, which spares the load its own shuffle by id.
     """
     encoder = encoder or HashingEncoder(table.dim)
     if table.encoder and table.encoder != encoder.name:
         raise ValueError(f"table was made for encoder {table.encoder!r}, not {encoder.name!r}")
-    write_chunks(latest_chunks(chunk_files(raw_files)), chunk_path)
-    stored = read_chunks(raw_files.sparkSession, chunk_path)
-    return table.load(embed_chunks(stored, encoder), order=F.col("path"))
+    spark = raw_files.sparkSession
+    latest_chunks(chunk_files(raw_files)).select(*CHUNK_COLUMNS).write.mode("overwrite").parquet(chunk_path)
+    return table.load(embed_chunks(spark.read.schema(CHUNK).parquet(chunk_path), encoder), unique=True)

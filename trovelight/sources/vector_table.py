@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -58,35 +59,46 @@ class VectorTable:
         """The log: one row per load since creation, so small enough for the driver."""
         if not path_exists(self.spark, f"{self.path}/log"):
             return []
-        return self.spark.read.schema(_LOG).json(f"{self.path}/log").orderBy("seq").collect()
+        rows = self.spark.read.schema(_LOG).json(f"{self.path}/log").collect()
+        return sorted(rows, key=lambda r: -1 if r["seq"] is None else r["seq"])
 
     def _live(self) -> tuple[list, list]:
-        """Last compaction (none or one entry), and the loads after it."""
+        """Last compaction (none or one entry), and what was loaded after it.
+
+        A merge stands for all loads up to its sequence number.
+        """
         log = self._log()
         base = [r for r in log if r["kind"] == "compact"][-1:]
         since = base[0]["seq"] if base else -1
-        return base, [r for r in log if r["kind"] == "load" and r["seq"] > since]
-
-    def next_seq(self) -> int:
-        return max((r["seq"] for r in self._log() if r["seq"] is not None), default=-1) + 1
+        merged = [r for r in log if r["kind"] == "merge" and r["seq"] > since][-1:]
+        since = merged[0]["seq"] if merged else since
+        return base, merged + [r for r in log if r["kind"] == "load" and r["seq"] > since]
 
     def load(self, points: DataFrame, seq: int | None = None, order: Column | None = None,
-             compact_after: int = 16) -> LoadResult:
+             unique: bool = False, compact_after: int = 16) -> LoadResult:
         """Upsert ``points`` by ``chunk_id``; the last by ``order`` wins within the load.
 
-        A later ``seq`` wins over an earlier one. Vectors of another length are an error.
+        Sequence numbers grow from load to load; one not above the last is a replay and is
+        skipped. ``unique`` says the ids are distinct already. Vectors of another length
+        are an error.
         """
-        seq = self.next_seq() if seq is None else seq
         base, loads = self._live()
-        if (base and seq <= base[0]["seq"]) or any(r["seq"] == seq for r in loads):
+        last = max((r["seq"] for r in base + loads), default=-1)
+        seq = last + 1 if seq is None else seq
+        if seq <= last:
             return LoadResult(seq, 0, True)
-        latest = last_by_key(points, "chunk_id", F.col("path") if order is None else order)
+        latest = points if unique else last_by_key(points, "chunk_id", F.col("path") if order is None else order)
         sized = F.when(F.size("vector") == self.dim, F.col("vector")).otherwise(
             F.raise_error(F.lit(f"vector length differs from the table's {self.dim}")).cast("array<float>"))
         checked = latest.withColumn("vector", sized).select(*VECTOR_POINT.fieldNames())
         rows = self._write(checked, "load", seq)
         if len(loads) + 1 >= compact_after:
-            self.compact()
+            # Rewrite the base only when the loads have grown to a good part of it.
+            pending = rows + sum(r["rows"] for r in loads)
+            if not base or pending * 4 >= base[0]["rows"]:
+                self.compact()
+            else:
+                self._write(self._recent(self._live()[1]), "merge", seq)
         return LoadResult(seq, rows, False)
 
     def _write(self, points: DataFrame, kind: str, seq: int) -> int:
@@ -119,16 +131,17 @@ class VectorTable:
         current = self._read_folder(base[0]) if base else None
         if not loads:
             return self.spark.createDataFrame([], VECTOR_POINT) if current is None else current
-        parts = [self._read_folder(r).withColumn("_seq", F.lit(r["seq"])) for r in loads]
-        if len(parts) == 1:
-            recent = parts[0].drop("_seq")
-        else:
-            merged = parts[0]
-            for part in parts[1:]:
-                merged = merged.unionByName(part)
-            recent = last_by_key(merged, "chunk_id", F.col("_seq")).drop("_seq")
+        recent = self._recent(loads)
         return recent if current is None else upsert(current, recent)
 
+    def _recent(self, loads: list) -> DataFrame:
+        """The loads as one table, the latest row of each id."""
+        if len(loads) == 1:
+            return self._read_folder(loads[0])
+        merged = reduce(DataFrame.unionByName, (
+            self._read_folder(r).withColumn("_seq", F.lit(r["seq"])) for r in loads))
+        return last_by_key(merged, "chunk_id", F.col("_seq")).drop("_seq")
+
     def compact(self) -> int:
         """Fold all loads into one base; returns its row count."""
         base, loads = self._live()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.chunking import chunk_files
+from ..operators.chunking import chunk_files, latest_chunks
 from ..operators.embedding import Encoder, HashingEncoder, embed_chunks
 from ..sources.vector_table import VectorTable
 
@@ -20,8 +20,8 @@ def start_chunk_load(raw_files: DataFrame, table: VectorTable, checkpoint: str,
     encoder = encoder or HashingEncoder(table.dim)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        points = embed_chunks(chunk_files(batch), encoder)
-        table.load(points, seq=batch_id, order=F.struct("path", "ordinal"))
+        points = embed_chunks(latest_chunks(chunk_files(batch)), encoder)
+        table.load(points, seq=batch_id, unique=True)
 
     return (
         raw_files.writeStream.foreachBatch(load)
