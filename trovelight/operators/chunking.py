@@ -71,6 +71,19 @@ def _may_match(pattern: str) -> Column:
     return reduce(lambda a, b: a & b, (F.col("code").contains(x) for x in [*words, *marks]))
 
 
+def _up_to_last_end(pattern: str) -> Column:
+    """The text up to the last place where a match can end.
+
+    Without it, every function head after that place would be followed to the end of
+    the text in vain.
+    """
+    code = F.col("code")
+    if pattern not in FUNCTION_PATTERNS.values():
+        return code
+    tail = F.substring_index(code, "end" if pattern.endswith("end)") else "}", -1)
+    return F.substring(code, F.lit(1), F.length(code) - F.length(tail))
+
+
 def with_language(raw_files: DataFrame) -> DataFrame:
     """Add ``language`` from the (case-sensitive) suffix and ``repo`` from the name; drop unknown files."""
     return raw_files.withColumns({
@@ -86,7 +99,7 @@ def _matches(patterns: Mapping[str, str]) -> list[Column]:
         by_pattern.setdefault(pattern, []).append(language)
     return [
         F.when(F.col("language").isin(*languages) & _may_match(pattern), F.transform(
-            F.regexp_extract_all("code", F.lit(java_pattern(pattern)), F.lit(1)),
+            F.regexp_extract_all(_up_to_last_end(pattern), F.lit(java_pattern(pattern)), F.lit(1)),
             lambda match, i: _piece(F.concat(F.lit(MATCH_NAME_PREFIX), i.cast("string")), match)))
         for pattern, languages in by_pattern.items()
     ]

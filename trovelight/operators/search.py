@@ -29,22 +29,18 @@ _QUERY_SLICE = 512   # queries scored at a time, bounds the score matrix of a ba
 _PAIR_SLICE = 65_536  # candidate pairs re-scored at a time
 
 
-@dataclass(frozen=True)
 class QueryMatrix:
     """Query ids, language filters ('' for none) and vectors, row by row."""
 
-    ids: pa.Array
-    languages: np.ndarray
-    vectors: np.ndarray
+    def __init__(self, ids: pa.Array, languages: np.ndarray, vectors: np.ndarray):
+        self.ids, self.languages, self.vectors = ids, languages, vectors
 
     @staticmethod
-    def from_table(table: pa.Table) -> "QueryMatrix":
-        languages = [x or "" for x in table.column("language").to_pylist()]
-        return QueryMatrix(
-            table.column("query_id").combine_chunks(),
-            np.array(languages, dtype=object),
-            _matrix(table.column("vector").combine_chunks()),
-        )
+    def parts(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The three parts as plain Arrow and NumPy values, which any worker can unpickle."""
+        ids = table.column("query_id").combine_chunks()
+        languages = np.array([x or "" for x in table.column("language").to_pylist()], dtype=object)
+        return ids, languages, _matrix(table.column("vector").combine_chunks())
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -174,7 +170,7 @@ def _feed(best: _TopK, batch) -> None:
 
 def _broadcast_job(shared, k: int, threshold: float | None, metric: str):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _TopK(shared.value, k, threshold, metric)
+        best = _TopK(QueryMatrix(*shared.value), k, threshold, metric)
         for batch in batches:
             if batch.num_rows:
                 _feed(best, batch)
@@ -185,8 +181,7 @@ def _broadcast_job(shared, k: int, threshold: float | None, metric: str):
 
 def _grid_job(k: int, threshold: float | None, metric: str):
     def job(points: pa.Table, queries: pa.Table) -> pa.Table:
-        block = QueryMatrix.from_table(queries)
-        best = _TopK(block, k, threshold, metric)
+        best = _TopK(QueryMatrix(*QueryMatrix.parts(queries)), k, threshold, metric)
         if points.num_rows and queries.num_rows:
             for batch in points.to_batches(max_chunksize=10_000):
                 _feed(best, batch)
@@ -221,7 +216,7 @@ def best_hits(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
         T.StructField("score", T.DoubleType()),
     ])
     if size.bytes <= broadcast_bytes:
-        shared = points.sparkSession.sparkContext.broadcast(QueryMatrix.from_table(asked.toArrow()))
+        shared = points.sparkSession.sparkContext.broadcast(QueryMatrix.parts(asked.toArrow()))
         partial = pool.mapInArrow(_broadcast_job(shared, k, threshold, metric), schema)
     else:
         partial = _grid(asked, pool, size, block_bytes, schema, _grid_job(k, threshold, metric))

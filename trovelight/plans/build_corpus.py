@@ -7,19 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from ..fixed_values import EXTENSION_LANGUAGE
 from ..operators.chunking import chunk_files, latest_chunks
 from ..operators.embedding import Encoder, HashingEncoder, embed_chunks
-from ..operators.selection import select_files, select_repos
+from ..operators.selection import pending_languages, select_files, select_repos
 from ..schemas import CHUNK, CHUNK_COLUMNS
 from ..settings import DEFAULTS, Settings
 from ..sources.vector_table import LoadResult, VectorTable
 
 
 def select_raw_files(repos: DataFrame, tree: DataFrame, contents: DataFrame,
-                     settings: Settings = DEFAULTS) -> DataFrame:
+                     settings: Settings = DEFAULTS, have: DataFrame | None = None) -> DataFrame:
     """Raw files of the selected repositories: ``language, file_name, code``.
 
     ``tree(owner, repo_name, ordinal, path, size_bytes)`` decides; ``contents(owner,
-    repo_name, path, code)`` is joined only to the files that were chosen.
+    repo_name, path, code)`` is joined only to the files that were chosen. Languages of
+    which ``have(language, file_name)`` holds enough repositories already are skipped.
     """
+    if have is not None:  # one row per known language at most
+        pending = pending_languages(repos.sparkSession, have, settings.MAX_REPOS)
+        repos = repos.join(F.broadcast(pending), "language", "left_semi")
     chosen = select_files(
         tree, select_repos(repos, settings.LICENSE, settings.STARS, settings.MAX_REPOS),
         settings.MAX_FILES_PER_REPO, settings.MAX_DOWNLOAD_BYTES, settings.MAX_REPOS)

@@ -12,7 +12,6 @@ class Settings:
     # search
     TOP_K: int = 5
     SCORE_THRESHOLD: float = 0.65
-    COLLECTION_NAME: str = "code_chunks"
     # encoders, tried in order
     PRIMARY_EMBED_MODEL: str = "jinaai/jina-embeddings-v2-base-code"
     FALLBACK_EMBED_MODEL: str = "microsoft/codebert-base"
