@@ -131,7 +131,11 @@ _ALL = f"""{_NAMED}, {_REGEX}, {_WHOLE}, {_PYTHON}, {_JAVASCRIPT},
 all_chunks AS (SELECT * FROM regex_chunks UNION ALL BY NAME SELECT * FROM whole_chunks
   UNION ALL BY NAME SELECT * FROM python_chunks UNION ALL BY NAME SELECT * FROM js_chunks),
 chunks AS ({_with_id('all_chunks')})"""
-ORACLES["chunks_all"] = ORACLES["raw_scan"] = f"{_ALL} SELECT * FROM chunks"
+ORACLES["chunks_all"] = f"{_ALL} SELECT * FROM chunks"
+# Files read back as text have line feeds only.
+ORACLES["raw_scan"] = ORACLES["chunks_all"].replace(
+    "AS file_name, code FROM files_fx",
+    f"AS file_name, replace(replace(code, concat(chr(13), {NL}), {NL}), chr(13), {NL}) AS code FROM files_fx", 1)
 _LATEST = "(SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY path DESC, ordinal DESC) AS rn FROM chunks) WHERE rn = 1"
 ORACLES["chunk_ids"] = ORACLES["stream_upsert"] = f"{_ALL} SELECT chunk_id, path FROM {_LATEST}"
 ORACLES["corpus_build"] = f"{_ALL} SELECT chunk_id, language, repo, path, function_name FROM {_LATEST}"

@@ -2,6 +2,7 @@
 
 import ast
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -100,6 +101,24 @@ def test_whole_files(spark):
     assert chunked(spark, (".R", "x"), (".xyz", "x"), ("", "x")) == []
 
 
+HARD = ["function a() { ", "/", "`${", "'", "(function a(){", "/* ", "a = b / c; ", "[/", "x/*", "\\"]
+
+
+@pytest.mark.parametrize("piece", HARD)
+def test_javascript_time_grows_with_length_only(piece):
+    began = time.perf_counter()
+    list(javascript_functions(piece * (200_000 // len(piece)) + " function"))
+    assert time.perf_counter() - began < 10
+
+
+def test_unclosed_functions_are_not_followed_to_the_end(spark):
+    heads = "func a() {\n" * 50_000
+    began = time.perf_counter()
+    assert chunked(spark, (".go", "} " + heads)) == []
+    assert [len(c) for _, c in chunked(spark, (".go", heads + "}"))] == [len(heads) + 1]
+    assert time.perf_counter() - began < 60
+
+
 # Words and white space beyond ASCII, line ends that only one engine knows, missing parts.
 PIECES = ["function ", "func ", "fn ", "fun ", "def ", "public ", "static ", "int ", "naïve", "größe_1", "f²", "x", "(", ")",
           "{", "}", "()", "end", "\n", "\r", "\x85", "\xa0", chr(0x2028), chr(0x3000), "\x1f", " ", "‿", "é", "١", ";", "public void run(a) { x }"]
@@ -108,13 +127,12 @@ PIECES = ["function ", "func ", "fn ", "fun ", "def ", "public ", "static ", "in
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=30).map("".join), min_size=20, max_size=60))
 def test_patterns_match_what_python_matches(spark, sources):
-    for language in ("typescript", "java", "cpp", "go", "ruby", "rust", "kotlin", "scala", "bash"):
-        frame = spark.createDataFrame([(i, language, "r", str(i), s) for i, s in enumerate(sources)],
-                                      "i int, language string, repo string, file_name string, code string")
-        got = chunking.regex_chunks(frame).collect()
-        pattern = fixed.FUNCTION_PATTERNS[language]
-        expected = [(str(i), n, f"func_{n}", m) for i, s in enumerate(sources) for n, m in enumerate(re.findall(pattern, s))]
-        assert sorted((r["path"], r["ordinal"], r["function_name"], r["code"]) for r in got) == sorted(expected), language
+    languages = ("typescript", "java", "cpp", "go", "ruby", "rust", "kotlin", "scala", "bash")
+    rows = [(language, "r", f"{language}{i}", source) for language in languages for i, source in enumerate(sources)]
+    got = chunking.regex_chunks(spark.createDataFrame(rows, "language string, repo string, file_name string, code string"))
+    expected = [(path, n, f"func_{n}", match) for language, _, path, source in rows
+                for n, match in enumerate(re.findall(fixed.FUNCTION_PATTERNS[language], source))]
+    assert sorted((r["path"], r["ordinal"], r["function_name"], r["code"]) for r in got.collect()) == sorted(expected)
 
 
 def test_every_pattern_language_is_cut(spark):

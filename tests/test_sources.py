@@ -40,9 +40,9 @@ def test_inventory_reads_only_what_it_indexes(spark, tmp_path):
 
 
 def test_raw_scan(spark, tmp_path):
-    lay_out(tmp_path, {"Python/o__r__a.py": b"ab\xffcd\xc3\xa9", "go/_x__r__b.go": b"", "go/deep/c.go": b"no", "stray.py": b"no"})
+    lay_out(tmp_path, {"Python/o__r__a.py": b"ab\xffcd\xc3\xa9", "go/_x__r__b.go": b"", "c/o__r__c.c": b"a\r\nb\rc\n", "go/deep/c.go": b"no", "stray.py": b"no"})
     got = {(r["lang_dir"], r["file_name"], r["code"]) for r in file_io.scan_raw_files(spark, str(tmp_path)).collect()}
-    assert got == {("python", "o__r__a.py", "abcdé"), ("go", "_x__r__b.go", "")}
+    assert got == {("python", "o__r__a.py", "abcdé"), ("go", "_x__r__b.go", ""), ("c", "o__r__c.c", "a\nb\nc\n")}
 
 
 def test_unreadable_files_are_null_or_skipped(spark, tmp_path):

@@ -40,3 +40,8 @@ def decode_utf8(content: Column) -> Column:
     the file is dropped with them.
     """
     return F.translate(F.make_valid_utf8(content.cast("string")), REPLACEMENT_CHAR, "")
+
+
+def unix_newlines(text: Column) -> Column:
+    """Every line end as a single line feed, the way text files are read."""
+    return F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\r", "\n")

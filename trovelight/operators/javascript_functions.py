@@ -34,6 +34,7 @@ class _Scan:
     def __init__(self, code: str):
         self.code = code
         self.last, self.last_end, self.newline = "", 0, True
+        self.no_regex_before = 0  # no regular expression starts before this place
         self.stack: list[tuple[str, tuple | None]] = []
         self.found: list[tuple[int, int, str]] = []
 
@@ -68,7 +69,7 @@ class _Scan:
             return self.function(at)
         if text in "\"'":
             string = _STRING.match(self.code, at)
-            return self.consumed(_OPERAND, string.end()) if string else at + 1
+            return self.consumed(_OPERAND, string.end()) if string else self.consumed(text, at + 1)
         if text == "/":
             return self.slash(at)
         if text in _CLOSES:
@@ -84,8 +85,13 @@ class _Scan:
             self.newline = broken or "\n" in comment.group()
             return comment.end()
         # After "<" a slash closes a markup tag.
-        literal = _REGEX.match(self.code, at) if _wants_operand(previous) and previous != "<" else None
-        return self.consumed(_OPERAND, literal.end()) if literal else at + 1
+        if _wants_operand(previous) and previous != "<" and at >= self.no_regex_before:
+            literal = _REGEX.match(self.code, at)
+            if literal:
+                return self.consumed(_OPERAND, literal.end())
+            line_end = self.code.find("\n", at)
+            self.no_regex_before = line_end if line_end >= 0 else len(self.code)
+        return self.consumed("/", at + 1)
 
     def template(self, at: int) -> int:
         piece = _TEMPLATE.match(self.code, at)
@@ -105,7 +111,7 @@ class _Scan:
             begin = self.code.rfind("async", 0, at)
             previous, broken = self.before(begin)
         if head is None or not self.is_statement(previous, broken, begin):
-            return at + len("function")
+            return self.consumed("function", at + len("function"))
         self.stack.append(("(", ("parameters", begin, head["name"])))
         return self.consumed("(", head.end())
 

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import file_name
-from ..functions.text import decode_utf8
+from ..functions.text import decode_utf8, unix_newlines
 from ..schemas import LISTED_FILE
 
 _ROWS = 10_000
@@ -24,18 +24,28 @@ _BYTES = 32 << 20
 def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
     """``(name, is_folder, size)`` directly below; links to folders are not followed."""
     if "://" not in folder:
-        with os.scandir(folder) as found:
-            for entry in found:
-                if entry.is_dir(follow_symlinks=False):
-                    yield entry.name, True, 0
-                elif entry.is_file():
-                    yield entry.name, False, entry.stat().st_size
+        try:
+            found = os.scandir(folder)
+        except PermissionError:
+            return
+        for entry in found:
+            if entry.is_dir(follow_symlinks=False):
+                yield entry.name, True, 0
+            elif entry.is_file():
+                yield entry.name, False, _size(entry)
         return
     store, path = fs.FileSystem.from_uri(folder)
     for info in store.get_file_info(fs.FileSelector(path)):
         yield info.base_name, info.type == fs.FileType.Directory, info.size or 0
 
 
+def _size(entry: os.DirEntry) -> int:
+    try:
+        return entry.stat().st_size
+    except OSError:
+        return 0  # still counted, never indexed
+
+
 def _read(path: str) -> bytes:
     if "://" not in path:
         with open(path, "rb") as f:
@@ -145,7 +155,8 @@ def read_contents(files: DataFrame, where: str | None = None) -> DataFrame:
 def scan_raw_files(spark: SparkSession, root: str) -> DataFrame:
     """Text of the files at ``<root>/<language folder>/<name>``: ``lang_dir, file_name, code``.
 
-    Undecodable bytes are dropped from the text; unreadable files are skipped.
+    Undecodable bytes are dropped and line ends become line feeds; unreadable files are
+    skipped.
     """
     listed = list_files(spark.createDataFrame([(root,)], "root string"))
     direct = listed.filter(F.size(F.split("path", "/")) == 2)
@@ -153,7 +164,7 @@ def scan_raw_files(spark: SparkSession, root: str) -> DataFrame:
     return read.select(
         F.lower(F.split_part("path", F.lit("/"), F.lit(1))).alias("lang_dir"),
         file_name(F.col("path")).alias("file_name"),
-        decode_utf8(F.col("content")).alias("code"),
+        unix_newlines(decode_utf8(F.col("content"))).alias("code"),
     )
 
 
