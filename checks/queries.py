@@ -14,7 +14,7 @@ from trovelight.operators import (
 from trovelight.plans.answer_prompts import answer_prompts, pack_answers
 from trovelight.plans.build_corpus import build_corpus, select_raw_files
 from trovelight.plans.inventory_repos import inventory_roots
-from trovelight.session import new_folder
+from trovelight.session import cut_lineage, new_folder
 from trovelight.settings import Settings
 from trovelight.sources import chunks as chunk_io
 from trovelight.sources.files import scan_raw_files, write_files
@@ -177,7 +177,7 @@ def _loads(spark, sf):
 @query
 def chunk_upsert(spark, sf):
     first, second = (chunking.latest_chunks(x) for x in _loads(spark, sf))
-    return upsert.upsert(first, second).select("chunk_id", "language", "path", "code")
+    return upsert.upsert(first, cut_lineage(second)).select("chunk_id", "language", "path", "code")
 
 
 @query

@@ -32,6 +32,8 @@ def test_hashing_encoder(spark):
     assert all(len(v) == 64 for v in got.values()) and got[0] == got[1] != got[2]
     norms = {r["id"]: r["n"] for r in frame.select("id", vectors.norm(F.col("vector")).alias("n")).collect()}
     assert norms[0] == pytest.approx(1, abs=1e-6) and norms[3] == norms[4] == 0
+    word = embedding.embed_chunks(rows(spark, "Größe", "größe;"), embedding.HashingEncoder(64)).select("vector").collect()
+    assert word[0] == word[1] and sum(x > 0 for x in word[0]["vector"]) == 1
     assert sorted(x for x in got[0] if x)[-1] == pytest.approx(2 / 5 ** 0.5, abs=1e-6)  # foo twice, bar once
 
 

@@ -128,6 +128,24 @@ def test_layout_follows_the_measured_size(spark):
     assert "CoGroup" in plan(799) and "MapInArrow" not in plan(799)
 
 
+def test_only_the_languages_asked_for_are_read(spark, tmp_path):
+    schema = POINTS + ", repo string, path string, function_name string, code string"
+    spark.createDataFrame([(f"p{x}", x, [1.0], "r", "p", "f", "c") for x in ("go", "c", "rust")], schema).write.partitionBy(
+        "language").parquet(str(tmp_path / "t"))
+    points = spark.read.schema(schema).parquet(str(tmp_path / "t"))
+    few = spark.createDataFrame([(1, "go", [1.0]), (2, "c", [1.0])], QUERIES)
+    every = few.union(spark.createDataFrame([(3, None, [1.0])], QUERIES))
+    odd = few.union(spark.createDataFrame([(3, "cobol", [1.0])], QUERIES))
+    assert search.measure(few).languages == ("c", "go")
+    assert search.measure(every).languages == search.measure(odd).languages == search.measure(few.limit(0)).languages == ()
+    found = search.search(few, points)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and all("PartitionFilters: [language" in line and "IN (c,go)" in line for line in scans)
+    assert {r["chunk_id"] for r in found.collect()} == {"pgo", "pc"}
+    assert search.search(every, points).filter("query_id = 3").count() == 3
+
+
 def test_k_and_metric_are_checked(spark):
     q, p = spark.createDataFrame([], QUERIES), spark.createDataFrame([], POINTS)
     with pytest.raises(ValueError):

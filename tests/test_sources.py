@@ -30,9 +30,10 @@ def test_listing_sees_every_file(spark, tmp_path, depth):
     assert all(r["absolute_path"] == f"{tmp_path}/{p}" for p, r in rows.items())
 
 
-def test_inventory_reads_only_what_it_indexes(spark, tmp_path):
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_inventory_reads_only_what_it_indexes(spark, tmp_path, scheme):
     lay_out(tmp_path, TREE)
-    rows = {r["path"]: r for r in inventory_roots(spark.createDataFrame([(f"file://{tmp_path}",)], "root string")).collect()}
+    rows = {r["path"]: r for r in inventory_roots(spark.createDataFrame([(f"{scheme}{tmp_path}",)], "root string")).collect()}
     assert len(rows) == len(TREE)
     assert {p for p, r in rows.items() if r["is_indexed"]} == {"_priv/k.py", "a/__main__.py", "with space.py", "a/b/bad.py"}
     assert rows["_priv/k.py"]["line_count"] == 2 and rows["a/__main__.py"]["is_entry_point"]
@@ -57,6 +58,11 @@ def test_written_files_can_be_written_again(spark, tmp_path):
     assert (tmp_path / "b.txt").read_bytes() == "é".encode() and sorted(os.listdir(tmp_path)) == ["b.txt", "x"]
 
 
+def test_file_addresses_name_local_paths():
+    assert [file_io._local(x) for x in ("file:/a/b", "file:///a/b", "/a/b", "hdfs://n/a", "file://host/a")] == [
+        "/a/b", "/a/b", "/a/b", "hdfs://n/a", "file://host/a"]
+
+
 def chunk_rows(spark):
     raw = spark.createDataFrame([("ö__r__a.go", "func f() { }"), ("ö__r__b.sql", "sélect")], "file_name string, code string")
     return chunking.chunk_files(raw)

@@ -58,7 +58,7 @@ class HashingEncoder:
         return f"hashing-{self.dim}"
 
     def embed(self, rows: DataFrame, text: str = "code", batch: int = DEFAULTS.ENCODE_BATCH) -> DataFrame:
-        words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+", minTokenLength=1)
+        words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=1)
         counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=self.dim)
         unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
         hashed = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..fixed_values import EXTENSION_LANGUAGE
 from ..settings import DEFAULTS
 
 _QUERY_SLICE = 512   # queries scored at a time, bounds the score matrix of a batch
@@ -209,7 +210,7 @@ def best_hits(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
     threshold = threshold if metric == "cosine" else None
     asked = queries.select("query_id", "language", "vector")
     size = size or measure(asked)
-    pool = points.select("chunk_id", "language", "vector")
+    pool = asked_points(points, size).select("chunk_id", "language", "vector")
     schema = T.StructType([
         asked.schema["query_id"],
         T.StructField("chunk_id", T.StringType()),
@@ -229,6 +230,7 @@ def best_hits(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
 class QuerySize:
     rows: int
     dim: int
+    languages: tuple[str, ...] = ()  # all that are asked for; empty when any query asks for all
 
     @property
     def bytes(self) -> int:
@@ -236,10 +238,18 @@ class QuerySize:
 
 
 def measure(queries: DataFrame) -> QuerySize:
-    """Row count and vector length of a query table, found before anything is fetched."""
+    """Row count, vector length and languages of a query table, before anything is fetched."""
+    known = F.col("language").isin(*EXTENSION_LANGUAGE.values())
     size = queries.agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("dim")).first()
-    return QuerySize(size["rows"], size["dim"] or 0)
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("dim"),
+        F.collect_set(F.when(known, F.col("language")).otherwise("")).alias("languages")).first()
+    languages = () if "" in size["languages"] else tuple(sorted(size["languages"]))
+    return QuerySize(size["rows"], size["dim"] or 0, languages)
+
+
+def asked_points(points: DataFrame, size: QuerySize) -> DataFrame:
+    """Points of the languages asked for: folders of a table by language, else rows."""
+    return points.filter(F.col("language").isin(*size.languages)) if size.languages else points
 
 
 def _grid(asked: DataFrame, pool: DataFrame, size: QuerySize, block_bytes: int,
@@ -282,5 +292,5 @@ def search(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
     size = measure(queries)
     hits = best_hits(queries, points, k, threshold, metric, size=size, **limits)
     if payload:
-        hits = attach_payload(hits, points, list(payload), size.rows * k)
+        hits = attach_payload(hits, asked_points(points, size), list(payload), size.rows * k)
     return hits.select("query_id", "rank", "score", "chunk_id", *payload)

@@ -23,7 +23,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> D
 
     Only the keys of ``incoming`` are compared, so the larger side is neither sorted
     nor aggregated, and is not shuffled at all while the incoming keys are small
-    enough for Spark to broadcast them.
+    enough for Spark to broadcast them. ``incoming`` is read twice; store it first if it
+    is costly to compute.
     """
     kept = existing.join(incoming.select(key), key, "left_anti")
     return kept.unionByName(incoming)

@@ -7,6 +7,7 @@ empty files, all of which an inventory must see, so the listing is a job of its
 from __future__ import annotations
 
 import os
+import re
 from typing import Iterator
 
 import pandas as pd
@@ -70,8 +71,12 @@ def _write(path: str, content: bytes, attempt: str) -> None:
         f.write(content)
 
 
+_LOCAL_SCHEME = r"^file:(//)?(?=/[^/]|/$)"
+
+
 def _local(uri: str) -> str:
-    return uri[len("file://"):] if uri.startswith("file:///") else uri
+    """A ``file:`` URI as a plain path; other addresses unchanged."""
+    return re.sub(_LOCAL_SCHEME, "", uri)
 
 
 def _rows(records: list[tuple]) -> pd.DataFrame:
@@ -113,7 +118,7 @@ def list_files(roots: DataFrame, column: str = "root", split_depth: int = 1) ->
     """
     tasks = roots.sparkSession.sparkContext.defaultParallelism * 2
     schema = "root string, path string, absolute_path string, size_bytes long, is_folder boolean"
-    clean = F.regexp_replace(F.regexp_replace(F.col(column), "^file:///", "/"), "(?<=.)/+$", "")
+    clean = F.regexp_replace(F.regexp_replace(F.col(column), _LOCAL_SCHEME, ""), "(?<=.)/+$", "")
     top = roots.select(
         F.col(column).alias("root"), F.lit("").alias("path"), clean.alias("absolute_path"),
         F.lit(0).cast("long").alias("size_bytes"), F.lit(True).alias("is_folder"))
