@@ -111,6 +111,14 @@ def test_javascript_time_grows_with_length_only(piece):
     assert time.perf_counter() - began < 10
 
 
+@pytest.mark.parametrize("source", ["`" + "a$" * 5000 + "\\", "function " + "// " * 5000 + "x", "function " + "/* */ " * 5000 + ";",
+                                    "function f(a) " + "/* */ // \n" * 5000 + ";", "'" + "\\" * 9999, "a=/" + "[a]" * 5000])
+def test_javascript_failures_are_cheap(source):
+    began = time.perf_counter()
+    assert list(javascript_functions(source + " function")) == []
+    assert time.perf_counter() - began < 5
+
+
 def test_unclosed_functions_are_not_followed_to_the_end(spark):
     heads = "func a() {\n" * 50_000
     began = time.perf_counter()

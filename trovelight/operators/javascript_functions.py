@@ -11,14 +11,15 @@ import re
 from typing import Iterator
 
 _WORD = r"[\w$\u0080-\U0010ffff]"
-_SKIP = r"(?:\s|/\*[\s\S]*?\*/|//[^\n\r\u2028\u2029]*)*"
+# Each of these can match a given text in one way only, so a failure costs no more than a success.
+_SKIP = r"(?:\s|/\*(?:[^*]|\*(?!/))*\*/|//[^\n\r\u2028\u2029]*(?=[\n\r\u2028\u2029]|\Z))*"
 _STOP = re.compile(rf"""["'`/(){{}}\[\]]|(?<![\w$.#\u0080-\U0010ffff])function(?!{_WORD})""")
 _HEAD = re.compile(rf"function{_SKIP}(?P<name>(?!\d){_WORD}+){_SKIP}\(")
 _BODY = re.compile(rf"{_SKIP}\{{")
 _STRING = re.compile(r"""(["'])(?:(?!\1)[^\\\n]|\\[\s\S])*\1""")
 _COMMENT = re.compile(r"//[^\n\r\u2028\u2029]*|/\*[\s\S]*?(?:\*/|\Z)")
 _REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/\w*")
-_TEMPLATE = re.compile(r"(?:[^`\\$]+|\\[\s\S]|\$(?!\{))*(`|\$\{|\Z)")
+_TEMPLATE = re.compile(r"[^`\\$]*(?:(?:\\[\s\S]|\$(?!\{))[^`\\$]*)*(`|\$\{|\Z)")
 _TAIL = re.compile(rf"(?:{_WORD}+|=>|\+\+|--|\S)\Z")
 _CASE = re.compile(r"\s*(?:case\b|default\s*\Z)")
 
