@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, language_id, mixing, secret_scan, token_count
+from . import common, language_id, mixing, packing, secret_scan, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,8 @@ def op9_token_count(spark, sf):
 def op3_mixing(spark, sf):
     mixed = mixing.mix(common.table(spark, sf, "documents"))
     return mixed.drop("source", "taking")
+
+
+@query
+def op6_packing(spark, sf):
+    return packing.pack(common.table(spark, sf, "documents"))
