@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, language_id, mixing, packing, secret_scan, token_count
+from . import common, language_id, minhash_dedup, mixing, packing, secret_scan, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,8 @@ def op3_mixing(spark, sf):
 @query
 def op6_packing(spark, sf):
     return packing.pack(common.table(spark, sf, "documents"))
+
+
+@query
+def op4_minhash_dedup(spark, sf):
+    return minhash_dedup.near_duplicates(common.table(spark, sf, "documents"), k=4)
