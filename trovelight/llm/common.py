@@ -35,15 +35,30 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def arrow_schema(rows: DataFrame, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+
+def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` on the Arrow batches of each task; it yields lists of row tuples."""
+    arrow = arrow_schema(rows, schema)
+
+    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            columns = list(zip(*out)) or [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return rows.mapInArrow(typed, schema)
+
+
 def map_batches(rows: DataFrame, start: Callable[[], Callable], schema: str) -> DataFrame:
     """``start()`` once per task, then its result on each Arrow batch.
 
     The inner function takes a ``RecordBatch`` and returns a list of columns for ``schema``.
     """
-    fields = rows.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(fields)
+    arrow = arrow_schema(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
@@ -53,7 +68,7 @@ def map_batches(rows: DataFrame, start: Callable[[], Callable], schema: str) ->
                 [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
                  for c, f in zip(columns, arrow)], schema=arrow)
 
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(run, schema)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

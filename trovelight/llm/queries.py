@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, language_id, minhash_dedup, mixing, packing, secret_scan, token_count
+from . import (
+    common, embedding_dedup, language_id, minhash_dedup, mixing, packing, secret_scan, token_count, topk_search,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +49,13 @@ def op6_packing(spark, sf):
 @query
 def op4_minhash_dedup(spark, sf):
     return minhash_dedup.near_duplicates(common.table(spark, sf, "documents"), k=4)
+
+
+@query
+def op5_topk_search(spark, sf):
+    return topk_search.top_k(common.table(spark, sf, "embeddings"), F.col("key") % 100 == 0)
+
+
+@query
+def op7_embedding_dedup(spark, sf):
+    return embedding_dedup.near_vectors(common.table(spark, sf, "embeddings"))
