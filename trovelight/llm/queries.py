@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
     common, embedding_dedup, language_id, minhash_dedup, mixing, packing, secret_scan, token_count, topk_search,
+    toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +60,9 @@ def op5_topk_search(spark, sf):
 @query
 def op7_embedding_dedup(spark, sf):
     return embedding_dedup.near_vectors(common.table(spark, sf, "embeddings"))
+
+
+@query
+def op10_toxicity(spark, sf):
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    return toxicity.score(docs, labels, common.remainder("doc_id", 3) != 1)
