@@ -34,7 +34,9 @@ SLICE = 8_192  # words of one length that are walked together
 class Trie:
     """The vocabulary as transition arrays; node 0 is dead, node 1 the root.
 
-    Every single character outside the vocabulary counts as the piece ``other``.
+    ``step`` has a column for each character that some piece of several characters holds, and
+    column 0 for all others. Those are walked from the root only, to nodes of their own if
+    they are pieces, else to the last node: the piece ``other``, number 1.
     """
 
     chars: dict[str, int] = field(default_factory=dict)
@@ -47,37 +49,43 @@ class Trie:
     def of(cls, vocabulary: list[str]) -> Trie:
         """Keeps the pieces that lower-cased words of letters can hold."""
         kept = [p for p in vocabulary if p == p.lower() and LETTERS.fullmatch(p.removeprefix(MARK) or "a")]
-        trie = cls({c: i + 1 for i, c in enumerate(sorted({c for p in kept for c in p}))})
+        long = [p for p in kept if len(p) > 1]
+        core = sorted({c for p in long for c in p})
+        alone = sorted({c for p in kept for c in p}.difference(core))
         paths: dict[str, int] = {"": 1}
-        for p in kept:
+        for p in (*core, *long):
             for i in range(1, len(p) + 1):
                 paths.setdefault(p[:i], len(paths) + 1)
-        trie.step = np.zeros((len(paths) + 2, len(trie.chars) + 1), np.int32)
-        trie.piece = np.zeros(len(paths) + 2, np.int32)
+        nodes = len(paths) + 1
+        trie = cls({c: i + 1 for i, c in enumerate(core)})
+        trie.chars |= {c: -(nodes + i) for i, c in enumerate(alone)}  # the negated node
+        trie.step = np.zeros((nodes, len(core) + 1), np.uint16 if nodes < 1 << 16 else np.int32)
         for path, node in paths.items():
             if path:
                 trie.step[paths[path[:-1]], trie.chars[path[-1]]] = node
+        trie.piece = np.zeros(nodes + len(alone) + 1, np.int32)
+        trie.piece[-1] = 1
+        # a character that is no piece by itself is the piece ``other`` where it stands alone
+        trie.piece[[paths[c] for c in core]] = 1
         for number, p in enumerate(kept):
-            trie.piece[paths[p]] = number + 2
-        trie.step[1, 0] = len(paths) + 1
-        trie.piece[len(paths) + 1] = 1
-        # a known character that is no piece by itself is walked as any other one-character piece
-        for c, i in trie.chars.items():
-            if trie.piece[trie.step[1, i]] == 0 and trie.step[1, i]:
-                trie.piece[trie.step[1, i]] = 1
+            trie.piece[paths[p] if p in paths else -trie.chars[p]] = number + 2
         trie.depth, trie.size = max(map(len, kept), default=1), len(kept) + 2
         return trie
 
     def codes(self, words: list[str]) -> np.ndarray:
         """Character numbers of words of one length, a row each."""
+        other = -(len(self.piece) - 1)
         get = self.chars.get
-        return np.array([[get(c, 0) for c in w] for w in words], np.int32)
+        return np.array([[get(c, other) for c in w] for w in words], np.int32)
 
     def walk(self, codes: np.ndarray, start: int):
         """Yields (end, pieces) for the pieces that open at ``start`` in any of the words."""
-        node = np.ones(len(codes), np.int32)
-        for end in range(start, min(codes.shape[1], start + self.depth)):
-            node = self.step[node, codes[:, end]]
+        column = np.maximum(codes, 0)
+        node = self.step[1, column[:, start]].astype(np.int32)
+        first = codes[:, start]
+        yield start + 1, self.piece[np.where(first < 0, -first, node)]
+        for end in range(start + 1, min(codes.shape[1], start + self.depth)):
+            node = self.step[node, column[:, end]]
             if not node.any():
                 return
             yield end + 1, self.piece[node]
