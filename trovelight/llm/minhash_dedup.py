@@ -138,6 +138,26 @@ def missed_pairs(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent:
         lambda t: _search_block(t, percent), f"a {kind}, b {kind}").distinct()
 
 
+def crowded(banded: DataFrame) -> DataFrame:
+    """(band, node, m): the rows (node, band) of the bands that hold ``m`` nodes, two or more."""
+    several = common.stored(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "crowded")
+    return common.stored(banded.join(several, "band").select("band", "node", "m"), "buckets")
+
+
+def linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what shares a bucket and ``percent`` per cent of its set.
+
+    ``buckets`` as ``crowded`` gives them; ``sets`` has (node, set, image) for their nodes. Links
+    that would only join what others already connect may be left out.
+    """
+    company = common.stored(buckets.groupBy("node").agg(F.sum("m").alias("company")), "company")
+    hubs = buckets.join(company, "node").groupBy("band").agg(F.max_by("node", "company").alias("hub"))
+    stars = common.stored(ordered_pairs(buckets.join(common.stored(hubs, "hubs"), "band"), "node", "hub"), "stars")
+    links = common.stored(confirmed(stars, sets, percent), "links")
+    missed = common.stored(missed_pairs(buckets.select("band", "node"), sets, links, percent), "missed")
+    return common.stored(links.unionByName(confirmed(missed, sets, percent)), "all-links")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: its key, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -152,22 +172,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: i
     rows = common.stored(rows.join(classes, ["one", "two"], "left").select(
         "key", "n", "node", F.when(F.col("key") == F.col("node"), F.col("bands")).alias("bands")), "documents")
 
-    banded = rows.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
-    crowded = common.stored(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "crowded")
-    buckets = common.stored(banded.join(crowded, "band"), "buckets")
-    company = buckets.groupBy("node").agg(F.sum("m").alias("company"))
-    wanted = common.stored(company, "candidates")
+    buckets = crowded(rows.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band")))
+    wanted = common.stored(buckets.select("node").distinct(), "candidates")
     kept_docs = docs.select(key, "text").join(wanted.select(F.col("node").alias(key)), key, "left_semi")
     copy = Window.partitionBy(key, F.xxhash64("text")).orderBy(key)
     kept_docs = kept_docs.withColumn("__n", F.row_number().over(copy)).where("__n = 1")
     sets = common.stored(shingle_sets(kept_docs, key, k), "shingle-sets")
-
-    hubs = buckets.join(wanted, "node").groupBy("band").agg(F.max_by("node", "company").alias("hub"))
-    stars = common.stored(ordered_pairs(buckets.join(common.stored(hubs, "hubs"), "band"), "node", "hub"), "stars")
-    links = common.stored(confirmed(stars, sets, percent), "links")
-    missed = common.stored(missed_pairs(buckets, sets, links, percent), "missed")
-    links = links.unionByName(confirmed(missed, sets, percent))
-    found = components(links).withColumnRenamed("component", "found")
+    found = components(linked(buckets, sets, percent)).withColumnRenamed("component", "found")
     component = F.coalesce("found", "node", "key")
     return rows.join(found, "node", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),

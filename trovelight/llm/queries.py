@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
     common, embedding_dedup, language_id, minhash_dedup, mixing, packing, secret_scan, token_count, topk_search,
-    toxicity,
+    substring_dedup, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op7_embedding_dedup(spark, sf):
 def op10_toxicity(spark, sf):
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
     return toxicity.score(docs, labels, common.remainder("doc_id", 3) != 1)
+
+
+@query
+def op2_substring_dedup(spark, sf):
+    return substring_dedup.repeated_passages(common.table(spark, sf, "documents"))

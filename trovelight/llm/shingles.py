@@ -26,7 +26,7 @@ _BYTE = mixed(np.arange(1, 257, dtype=U) * _STEP)  # a random number for each by
 _powers = np.ones(1, U)
 
 
-def _power_table(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     """Powers of an odd constant modulo 2**64, at least ``n`` of them."""
     global _powers
     if len(_powers) < n:
@@ -36,19 +36,24 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words (runs without ASCII white space) of UTF-8 bytes."""
+    edges = np.flatnonzero(np.diff(~_SPACE[raw], prepend=False, append=False))
+    return edges[::2], edges[1::2]
+
+
 def word_numbers(text: str) -> np.ndarray:
-    """A number for each word (run without ASCII white space), A-Z lower-cased."""
+    """A number for each word, A-Z lower-cased."""
     raw = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
-    inside = ~_SPACE[raw]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    begins, ends = edges[::2], edges[1::2]
+    begins, ends = word_bounds(raw)
     if not len(begins):
         return np.zeros(0, U)
+    inside = ~_SPACE[raw]
     lengths = ends - begins
     letters = raw[inside]
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(letters)) - np.repeat(first, lengths)
-    terms = _BYTE[letters] * _power_table(int(lengths.max()))[place]
+    terms = _BYTE[letters] * powers(int(lengths.max()))[place]
     return mixed(np.add.reduceat(terms, first) + lengths.astype(U))
 
 
