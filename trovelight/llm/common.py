@@ -20,6 +20,9 @@ from trovelight.session import new_folder
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+PART = 1_024  # rows of a batch that are worked on, and held as Python objects, at a time
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,7 +65,7 @@ def map_batches(rows: DataFrame, start: Callable[[], Callable], schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in (b.slice(i, PART) for b in batches for i in range(0, max(b.num_rows, 1), PART)):
             columns = work(batch)
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)

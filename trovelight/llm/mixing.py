@@ -161,7 +161,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     row = F.struct("doc_id", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("hash"))
     keyed = docs.withColumn("__row", row)
     whole = F.filter("taking", lambda x: x["words"] * 2 >= F.col("size"))
-    passes = mix(keyed, key="__row").select("__row", F.explode(whole)["position"].alias("__at"))
+    passes = mix(keyed, key="__row").select("__row", F.explode(F.transform(whole, lambda x: x["position"])).alias("__at"))
     passes = passes.groupBy("__row").agg(F.array_sort(F.collect_list("__at")).alias("__at"))
     first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
     due_rows = keyed.join(common.stored(passes, "mix-order"), "__row").withColumn("__n", first).where("__n = 1")

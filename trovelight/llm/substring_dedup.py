@@ -2,7 +2,8 @@
 
 Paragraphs here are what texts are copied in: a line is cut before each capitalised word and
 after each sentence mark, so a passage set into the middle of another text yields the same
-paragraphs wherever it stands. Paragraphs under ``LEAST_WORDS`` words are only filling.
+paragraphs wherever it stands. Pieces under ``LEAST_WORDS`` words that follow each other are
+one paragraph; what is still shorter is only filling.
 
 1. Paragraphs that are equal word for word form a class. Each class has ``BANDS`` MinHashes
    of its five-word shingles, each a band of its own: a pair at similarity 0.8 shares none
@@ -60,11 +61,13 @@ class Paragraphs:
         capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
         tail, before = raw[self.ends - 1], raw[np.maximum(self.ends - 2, 0)]
         stop = _STOPS[tail] | (_MARKS[tail] & _STOPS[before])
-        lines = np.cumsum(raw == 10)[self.begins]
-        opens = capital.copy()
-        opens[0] = True
-        opens[1:] |= stop[:-1] | (lines[1:] != lines[:-1])
+        lines = np.diff(np.cumsum(raw == 10)[self.begins], prepend=-1) != 0
+        opens = capital | lines
+        opens[1:] |= stop[:-1]
         first = np.flatnonzero(opens)
+        # short pieces of a line that follow each other make one paragraph
+        short = np.diff(np.append(first, n)) < LEAST_WORDS
+        first = first[~(short & np.append(False, short[:-1])) | lines[first]]
         last = np.append(first[1:], n)
         long = last - first >= LEAST_WORDS
         self.first, self.last = first[long], last[long]
