@@ -79,6 +79,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def repeated(keys: pa.Array, rows: list[int]) -> pa.Array:
+    """The keys at ``rows``, which may be none."""
+    return keys.take(pa.array(rows, pa.int64()))
+
+
 def remainder(key: str | Column, modulus: int) -> Column:
     """CRC-32 of the key as text, modulo ``modulus``; null for a null key."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % modulus

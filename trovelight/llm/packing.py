@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY,
                     crc.append(zlib.crc32(part))
                     if with_ids:
                         ids.append(np.frombuffer(part, "<u4").tolist())
-            return [batch.column(0).take(own), piece, begin, length, crc, *([ids] if with_ids else [])]
+            return [common.repeated(batch.column(0), own), piece, begin, length, crc, *([ids] if with_ids else [])]
 
         return work
 

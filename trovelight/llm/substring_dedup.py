@@ -125,7 +125,7 @@ def paragraph_numbers(docs: DataFrame, key: str) -> DataFrame:
                     bands.append(found.minima())
             as_long = lambda x, empty: (np.concatenate(x) if x else empty).view(np.int64)
             flat = as_long(bands, np.zeros((0, BANDS), np.uint64))
-            return [batch.column(0).take(own), as_long(number, np.zeros(0, np.uint64)),
+            return [common.repeated(batch.column(0), own), as_long(number, np.zeros(0, np.uint64)),
                     *(np.ascontiguousarray(flat[:, b]) for b in range(BANDS))]
 
         return work
@@ -172,7 +172,7 @@ def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame) -> DataFram
                             i, numbers[p], begin[p], end[p], found.first[p], found.last[p] - found.first[p],
                             unit.view(np.int64), np.unique(unit.astype(np.uint16)).tobytes())):
                         column.append(value)
-            return [batch.column(0).take(out[0]), *out[1:]]
+            return [common.repeated(batch.column(0), out[0]), *out[1:]]
 
         return work
 
