@@ -52,10 +52,21 @@ SELECT concat(source, '/repo', CAST(side AS STRING)) AS full_name, language,
 
 _LABEL_LANGUAGE = "CASE label % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'rust' ELSE 'java' END"
 
+# Every vector with every document: documents take the vectors in turn, vectors without one keep nulls.
+_PLACED = "(SELECT doc_id, source, text, doc_id % (SELECT count(*) FROM embeddings) AS vec FROM documents)"
 VIEWS["vec_fx"] = f"""
-SELECT concat({_LABEL_LANGUAGE}, '__', d.source, '__f', CAST(e.vec_id AS STRING)) AS chunk_id, {_LABEL_LANGUAGE} AS language,
-  d.source AS repo, concat(d.source, '__', CAST(d.doc_id AS STRING)) AS path, concat('f', CAST(e.vec_id AS STRING)) AS function_name,
-  d.text AS code, e.embedding AS vector FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
+SELECT concat({_LABEL_LANGUAGE}, '__', coalesce(d.source, 'none'), '__f', CAST(coalesce(d.doc_id, e.vec_id) AS STRING)) AS chunk_id,
+  {_LABEL_LANGUAGE} AS language, d.source AS repo,
+  CASE WHEN d.source IS NOT NULL THEN concat(d.source, '__', CAST(d.doc_id AS STRING)) END AS path,
+  CASE WHEN d.source IS NOT NULL THEN concat('f', CAST(d.doc_id AS STRING)) END AS function_name,
+  d.text AS code, e.embedding AS vector FROM embeddings e LEFT JOIN {_PLACED} d ON d.vec = e.vec_id
+"""
+
+# Vectors of the same content that arrive as a table of their own: some ids are unknown there, some only there.
+VIEWS["vectors_fx"] = f"""
+SELECT CASE WHEN vec_id % 10 = 3 THEN concat('foreign', CAST(vec_id AS STRING)) ELSE chunk_id END AS chunk_id, vector FROM (
+SELECT e.vec_id, e.embedding AS vector, concat({_LABEL_LANGUAGE}, '__', coalesce(d.source, 'none'), '__f', CAST(coalesce(d.doc_id, e.vec_id) AS STRING)) AS chunk_id
+FROM embeddings e LEFT JOIN {_PLACED} d ON d.vec = e.vec_id) AS named
 """
 
 # One query per (label, source): the group's first vector. Labels 8 and 9 ask without a language.
@@ -63,15 +74,15 @@ VIEWS["queries_fx"] = f"""
 SELECT min(vec_id) AS query_id, concat('Create task {{', CAST(min(vec_id) AS STRING), '}}') AS query,
   min_by(embedding, vec_id) AS vector,
   CASE label WHEN 8 THEN '' WHEN 9 THEN CAST(NULL AS STRING) ELSE {_LABEL_LANGUAGE} END AS language
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY label, source
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id GROUP BY label, source
 """
 
 # Every vector beside the query vector of its own group.
 VIEWS["pairs_fx"] = """
-WITH g AS (SELECT label, source, min_by(embedding, vec_id) AS lead_vector
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY label, source)
-SELECT e.vec_id AS vec_id, e.embedding AS vector, g.lead_vector AS lead_vector
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id JOIN g ON g.label = e.label AND g.source = d.source
+WITH p AS (SELECT vec_id, embedding, label, coalesce(source, 'none') AS source FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+g AS (SELECT label, source, min_by(embedding, vec_id) AS lead_vector FROM p GROUP BY label, source)
+SELECT p.vec_id AS vec_id, p.embedding AS vector, g.lead_vector AS lead_vector
+FROM p JOIN g ON g.label = p.label AND g.source = p.source
 """
 
 VIEWS["prompts_fx"] = """

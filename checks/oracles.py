@@ -43,9 +43,9 @@ _L2_HITS = f"""{_BASE}, hits AS (SELECT * FROM (SELECT *, row_number() OVER (PAR
   FROM (SELECT q.query_id, v.chunk_id, {_L2} AS score FROM queries_fx q JOIN vec_fx v ON {_SAME_LANGUAGE})) WHERE rank <= 5) {_SCORES}"""
 
 _LINES = f"string_split(code, {NL})"
-_SNIPPET = f"""concat('### [', upper(language), '] ', repo, '/', path, {NL}, 'Function: ', function_name, {NL}, '```', language, {NL},
+_SNIPPET = f"""concat('### [', upper(language), '] ', coalesce(repo, 'unknown'), '/', path, {NL}, 'Function: ', function_name, {NL}, '```', language, {NL},
   CASE WHEN len({_LINES}) > {fixed.SNIPPET_MAX_LINES} THEN concat(array_to_string({_LINES}[1:{fixed.SNIPPET_MAX_LINES}], {NL}), {_text(fixed.SNIPPET_TAIL)})
-  ELSE code END, {NL}, '```')"""
+  ELSE coalesce(code, '') END, {NL}, '```')"""
 
 ORACLES["context_pack"] = f"""{_BASE}, {_hits()},
 snippets AS (SELECT query_id, rank, chunk_id, {_SNIPPET} AS snippet FROM hits),
@@ -66,8 +66,8 @@ SELECT vec_id, round(sqrt(list_dot_product(a, a)), 6) AS norm, round(list_dot_pr
   round(list_cosine_similarity(a, b), 6) AS cosine, round(pow(list_distance(a, b), 2), 6) AS squared_l2 FROM d"""
 
 ORACLES["hit_preview"] = f"""{_BASE}, {_hits()}
-SELECT query_id, rank, concat(CAST(rank AS VARCHAR), '. ', repo, ' / ', path) AS title,
-  concat(substr(code, 1, {fixed.PREVIEW_CHARS}), '...') AS preview, language FROM hits WHERE rank <= {fixed.PREVIEW_HITS}"""
+SELECT query_id, rank, CAST(rank AS VARCHAR) || '. ' || repo || ' / ' || path AS title,
+  concat(substr(coalesce(code, ''), 1, {fixed.PREVIEW_CHARS}), '...') AS preview, language FROM hits WHERE rank <= {fixed.PREVIEW_HITS}"""
 
 ORACLES["hit_ids"] = f"""{_BASE}, {_hits()}
 SELECT query_id, string_agg(chunk_id, '|' ORDER BY rank) AS chunk_ids FROM hits GROUP BY query_id"""
@@ -137,16 +137,16 @@ ORACLES["raw_scan"] = ORACLES["chunks_all"].replace(
     "AS file_name, code FROM files_fx",
     f"AS file_name, replace(replace(code, concat(chr(13), {NL}), {NL}), chr(13), {NL}) AS code FROM files_fx", 1)
 _LATEST = "(SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY path DESC, ordinal DESC) AS rn FROM chunks) WHERE rn = 1"
-ORACLES["chunk_ids"] = ORACLES["stream_upsert"] = f"{_ALL} SELECT chunk_id, path FROM {_LATEST}"
+for _key in ("chunk_ids", "stream_upsert", "stream_after_batch"):
+    ORACLES[_key] = f"{_ALL} SELECT chunk_id, path FROM {_LATEST}"
+ORACLES["point_count"] = f"{_ALL} SELECT count(DISTINCT chunk_id) AS points, true AS differs_is_error FROM chunks"
 ORACLES["corpus_build"] = f"{_ALL} SELECT chunk_id, language, repo, path, function_name FROM {_LATEST}"
 ORACLES["dataset_export"] = f"""{_ALL} SELECT language, count(*) AS chunks, (SELECT count(*) FROM chunks) AS samples FROM chunks GROUP BY language"""
-ORACLES["sink_roundtrip"] = f"""{_NAMED}, {_REGEX}, {_WHOLE},
-both_kinds AS (SELECT * FROM regex_chunks UNION ALL BY NAME SELECT * FROM whole_chunks)
-SELECT * EXCLUDE (ordinal) FROM ({_with_id('both_kinds')})"""
+ORACLES["sink_roundtrip"] = f"{_ALL} SELECT * EXCLUDE (ordinal) FROM chunks"
 
-_LOADS = f"""{_NAMED}, {_REGEX}, {_WHOLE}, first_load AS ({_with_id('regex_chunks')}), whole AS ({_with_id('whole_chunks')}),
+_LOADS = f"""{_ALL}, first_load AS (SELECT * FROM chunks), whole AS (SELECT * FROM chunks WHERE function_name = 'default'),
 second_load AS (SELECT * FROM whole UNION ALL BY NAME
-  SELECT * REPLACE (concat(code, {NL}, '// revised') AS code) FROM first_load WHERE language IN ('go', 'ruby')),
+  SELECT * REPLACE (concat(code, {NL}, '// revised') AS code) FROM first_load WHERE language IN ('go', 'ruby', 'python')),
 loads AS (SELECT *, 0 AS seq FROM first_load UNION ALL BY NAME SELECT *, 1 AS seq FROM second_load),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC, path DESC, ordinal DESC) AS rn FROM loads) WHERE rn = 1)"""
 for _key in ("chunk_upsert", "last_write_wins", "vector_table"):
@@ -181,6 +181,11 @@ ORACLES["repo_documents"] = f"""{_INVENTORY} SELECT owner, repo_name, count(*) A
   coalesce(string_agg(concat_ws(':', path, language, line_count), '|' ORDER BY concat_ws(':', path, language, line_count)) FILTER (WHERE is_indexed), '') AS files
 FROM files_out GROUP BY owner, repo_name"""
 
+ORACLES["repo_records"] = f"""{_INVENTORY},
+totals AS (SELECT owner, repo_name, count(*) AS total_files, count(*) FILTER (WHERE is_indexed) AS indexed_files FROM files_out GROUP BY owner, repo_name)
+SELECT concat(t.owner, '/', t.repo_name) AS url, t.total_files, t.indexed_files, f.path, f.line_count
+FROM totals t LEFT JOIN (SELECT * FROM files_out WHERE is_indexed) f USING (owner, repo_name)"""
+
 ORACLES["parse_repo_url"] = f"""{ctes("urls_fx")},
 bare AS (SELECT page_id, url, regexp_replace(rtrim(url, '/'), '\\.git$', '') AS u FROM urls_fx),
 parts AS (SELECT *, string_split(CASE WHEN contains(u, '://') THEN substr(u, strpos(u, '://') + 3) ELSE u END, '/') AS p FROM bare)
@@ -247,5 +252,19 @@ FROM asked JOIN kinds USING (query_id) JOIN lists USING (query_id)"""
 
 # --- embedding -------------------------------------------------------------------------
 
-ORACLES["vector_payload_join"] = f"""{ctes("vec_fx")} SELECT chunk_id, language,
-  round(sqrt(list_dot_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 6) AS norm FROM vec_fx"""
+
+def _encoded(rows: str, key: str, text: str) -> str:
+    """CTEs up to ``encoded``: each row's words hashed into 64 places, at unit length."""
+    return f"""numbered AS (SELECT *, row_number() OVER () AS rid FROM {rows}),
+words AS (SELECT rid, {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM numbered),
+places AS (SELECT rid, {key}, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) % 64 AS place, count(*) AS n FROM words GROUP BY ALL),
+encoded AS (SELECT {key}, place, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY rid)) AS FLOAT) AS DOUBLE), 6) AS value FROM places)"""
+
+
+ORACLES["embed_corpus"] = f"{_ALL}, {_encoded('chunks', 'chunk_id', 'code')} SELECT * FROM encoded"
+ORACLES["embed_prompts"] = f"{ctes('prompts_fx')}, {_encoded('prompts_fx', 'query_id', 'query')} SELECT * FROM encoded"
+ORACLES["encoder_fallback"] = f"""{ctes('prompts_fx')}, {_encoded('prompts_fx', 'query_id', 'query')}
+SELECT 'md5-hashing-64' AS encoder, query_id, place, value FROM encoded"""
+ORACLES["vector_payload_join"] = f"""{ctes("vec_fx", "vectors_fx")} SELECT p.chunk_id, p.language,
+  round(sqrt(list_dot_product(CAST(v.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[]))), 6) AS norm
+FROM vec_fx p JOIN vectors_fx v USING (chunk_id)"""

@@ -13,6 +13,7 @@ from trovelight.operators import (
 )
 from trovelight.plans.answer_prompts import answer_prompts, pack_answers
 from trovelight.plans.build_corpus import build_corpus, select_raw_files
+from trovelight.plans import inventory_repos
 from trovelight.plans.inventory_repos import inventory_roots
 from trovelight.session import cut_lineage, new_folder
 from trovelight.settings import Settings
@@ -71,10 +72,10 @@ def vector_topk(spark, sf):
 
 @query
 def vector_topk_blocks(spark, sf):
-    """The same search, laid out for query tables too large to broadcast."""
+    """The same search with the queries sent in many small blocks."""
     return _scores(search.best_hits(
         view(spark, sf, "queries_fx"), view(spark, sf, "vec_fx"), threshold=THRESHOLD,
-        broadcast_bytes=0, block_bytes=64 << 10))
+        block_bytes=64 << 10))
 
 
 @query
@@ -166,12 +167,11 @@ def chunk_ids(spark, sf):
 
 
 def _loads(spark, sf):
-    """A first load of pattern-cut chunks; a second that revises go and ruby and adds whole files."""
-    files = _files(spark, sf)
-    first = chunking.regex_chunks(files)
-    revised = first.filter(F.col("language").isin("go", "ruby")).withColumn(
+    """A first load of all chunks; a second that revises three languages and repeats the whole files."""
+    first = chunking.chunk_files(_raw_files(spark, sf))
+    revised = first.filter(F.col("language").isin("go", "ruby", "python")).withColumn(
         "code", F.concat("code", F.lit("\n// revised")))
-    return first, revised.unionByName(chunking.whole_file_chunks(files))
+    return first, revised.unionByName(first.filter(F.col("function_name") == "default"))
 
 
 @query
@@ -228,6 +228,17 @@ def repo_documents(spark, sf):
         F.array_join(F.array_sort(files), "|").alias("files"))
 
 
+@query
+def repo_records(spark, sf):
+    """Sessions of all repositories with their totals and each indexed file."""
+    files = view(spark, sf, "files_fx")
+    sessions = files.select("owner", "repo_name").distinct().select(
+        F.concat_ws("/", "owner", "repo_name").alias("url"), F.concat_ws("/", "owner", "repo_name").alias("local_path"))
+    listed = inventory.file_inventory(files).withColumn("root", F.concat_ws("/", "owner", "repo_name"))
+    return inventory_repos.repo_records(sessions, listed).select(
+        "url", "total_files", "indexed_files", "path", "line_count")
+
+
 @query
 def parse_repo_url(spark, sf):
     return inventory.parse_urls(view(spark, sf, "urls_fx"))
@@ -302,22 +313,41 @@ def interaction_log(spark, sf):
 
 # --- embedding -------------------------------------------------------------------------
 
+def _places(embedded, *keys):
+    """The places of a vector that are not zero, a row each."""
+    rows = embedded.select(*keys, F.posexplode("vector").alias("place", "value")).where("value <> 0")
+    return rows.select(*keys, F.col("place").cast("long").alias("place"),
+                       F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 @query
 def embed_corpus(spark, sf):
-    return embedding.embed_chunks(chunking.chunk_files(_raw_files(spark, sf)), embedding.HashingEncoder(64)).select(
-        "chunk_id", "vector")
+    chunks = chunking.chunk_files(_raw_files(spark, sf))
+    return _places(embedding.embed_chunks(chunks, embedding.HashingEncoder(64)), "chunk_id")
 
 
 @query
 def embed_prompts(spark, sf):
-    return embedding.embed_prompts(view(spark, sf, "prompts_fx"), embedding.HashingEncoder(64)).select(
-        "query_id", "vector")
+    prompts = view(spark, sf, "prompts_fx")
+    return _places(embedding.embed_prompts(prompts, embedding.HashingEncoder(64)), "query_id")
+
+
+@query
+def encoder_fallback(spark, sf):
+    """The first encoder that loads embeds; one that does not is passed over."""
+
+    def absent():
+        raise ImportError("no such model")
+
+    encoder = embedding.first_available([embedding.Encoder("absent", absent), embedding.HashingEncoder(64)])
+    embedded = embedding.embed_prompts(view(spark, sf, "prompts_fx"), encoder)
+    return _places(embedded.withColumn("encoder", F.lit(encoder.name)), "encoder", "query_id")
 
 
 @query
 def vector_payload_join(spark, sf):
-    points = view(spark, sf, "vec_fx")
-    joined = embedding.attach_vectors(points.drop("vector"), points.select("chunk_id", "vector"))
+    """Payload and vectors from two tables; ids without a partner drop out."""
+    joined = embedding.attach_vectors(view(spark, sf, "vec_fx").drop("vector"), view(spark, sf, "vectors_fx"))
     return joined.select("chunk_id", "language", F.round(vectors.norm(F.col("vector")), 6).alias("norm"))
 
 
@@ -345,8 +375,7 @@ def raw_scan(spark, sf):
 @query
 def sink_roundtrip(spark, sf):
     path = new_folder(spark, "chunks")
-    chunk_io.write_chunks(chunking.regex_chunks(_files(spark, sf)).unionByName(
-        chunking.whole_file_chunks(_files(spark, sf))), path)
+    chunk_io.write_chunks(chunking.chunk_files(_raw_files(spark, sf)), path)
     return chunk_io.read_chunks(spark, path)
 
 
@@ -403,6 +432,22 @@ def log_append(spark, sf):
     return spark.read.schema(stored).json(path).select("query", "language", "response", _ids())
 
 
+@query
+def point_count(spark, sf):
+    """A load counted and checked: the right number passes, any other is an error."""
+    encoder = embedding.HashingEncoder(64)
+    table = VectorTable.create(spark, new_folder(spark, "table"), encoder.dim, encoder=encoder.name)
+    loaded = table.load(embedding.embed_chunks(chunking.chunk_files(_raw_files(spark, sf)), encoder))
+    points = table.check_count(loaded.rows)
+    try:
+        table.check_count(points + 1)
+        differs = False
+    except ValueError:
+        differs = True
+    counted = table.read().agg(F.count(F.lit(1)).alias("points"))
+    return counted.withColumn("differs_is_error", F.lit(differs))
+
+
 # --- streaming -------------------------------------------------------------------------
 
 @query
@@ -417,6 +462,23 @@ def stream_upsert(spark, sf):
     return table.read().select("chunk_id", "path")
 
 
+@query
+def stream_after_batch(spark, sf):
+    """A batch load, then two streams with checkpoints of their own, one of them run again."""
+    encoder = embedding.HashingEncoder(64)
+    table = VectorTable.create(spark, new_folder(spark, "table"), encoder.dim, encoder=encoder.name)
+    files = _raw_files(spark, sf)
+    part = F.pmod(F.xxhash64("file_name"), F.lit(3))
+    build_corpus(files.where(part == 0), table, new_folder(spark, "chunks"), encoder)
+    for n in (1, 2):
+        source, checkpoint = new_folder(spark, "incoming"), new_folder(spark, "checkpoint")
+        files.where(part == n).write.parquet(source)
+        incoming = spark.readStream.schema("file_name string, code string").parquet(source)
+        for _ in range(n):
+            start_chunk_load(incoming, table, checkpoint, encoder).awaitTermination()
+    return table.read().select("chunk_id", "path")
+
+
 @query
 def stream_prompts(spark, sf):
     """All prompts as a stream against the embedded corpus."""

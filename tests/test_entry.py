@@ -6,22 +6,24 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import difference
-from trovelight.settings import DEFAULTS, Settings
+from checks.queries import QUERIES
+from trovelight.settings import Settings
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"embed_corpus", "embed_prompts", "stream_prompts", "prompt_answers"}
+ROWS_ONLY = {"stream_prompts", "prompt_answers"}  # compared with each other
+OWN = {k for k in contract.queries() if k in QUERIES}  # without the optional part
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-def test_every_query_but_the_encoder_ones_has_an_oracle():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
+def test_every_other_query_has_an_oracle():
+    assert OWN - set(contract.oracle_sql()) == ROWS_ONLY
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("key", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(OWN & set(contract.oracle_sql())))
 def test_oracle(spark, key):
     assert difference(spark, SF, key) is None
 
@@ -31,12 +33,7 @@ def test_stream_answers_equal_batch_answers(spark):
     assert both[0] == both[1] and both[0]
 
 
-@pytest.mark.parametrize("key", ["embed_corpus", "embed_prompts"])
-def test_embeddings_have_rows(spark, key):
-    assert contract.queries()[key](spark, SF).count() > 0
-
-
 def test_settings_from_environment():
     changed = Settings.from_env({"TOP_K": "9", "SCORE_THRESHOLD": "0.5", "LICENSE": "bsd", "OTHER": "x"})
     assert (changed.TOP_K, changed.SCORE_THRESHOLD, changed.LICENSE) == (9, 0.5, "bsd")
-    assert dataclasses.replace(changed, TOP_K=5, SCORE_THRESHOLD=0.65, LICENSE="mit") == DEFAULTS
+    assert dataclasses.replace(changed, TOP_K=5, SCORE_THRESHOLD=0.65, LICENSE="mit") == Settings()

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from trovelight.operators import inventory
 from trovelight.plans.inventory_repos import clone_sessions, inventory_roots, repo_records
-from trovelight.sources.files import write_files
+from trovelight.sources.files import list_files, write_files
 
 FILES = "owner string, repo_name string, path string, code string"
 
@@ -59,7 +59,31 @@ def test_sessions_and_records(spark, tmp_path):
     write_files(spark.createDataFrame([("a/b.py", "x\ny\n"), ("c.md", "z")], "path string, content string"), paths["r"])
     write_files(spark.createDataFrame([("only.png", "p")], "path string, content string"), paths["s"])
     found = inventory_roots(sessions.select(F.col("local_path").alias("root")))
-    records = {r["name"]: r for r in repo_records(sessions, found).collect()}
-    assert (records["r"]["total_files"], records["r"]["indexed_files"], records["r"]["languages"]) == (2, 2, {"python": 1})
-    assert [(f["path"], f["line_count"]) for f in records["r"]["files"]] == [("a/b.py", 2), ("c.md", 1)]
-    assert (records["s"]["total_files"], records["s"]["files"]) == (1, [])
+    records = repo_records(sessions, found).orderBy("path").collect()
+    mine = [r for r in records if r["name"] == "r"]
+    assert {(r["total_files"], r["indexed_files"], tuple(r["languages"].items())) for r in mine} == {(2, 2, (("python", 1),))}
+    assert [(r["path"], r["line_count"]) for r in mine] == [("a/b.py", 2), ("c.md", 1)]
+    assert [(r["total_files"], r["path"]) for r in records if r["name"] == "s"] == [(1, None)]
+
+
+def test_flat_records_do_not_depend_on_pages(spark):
+    rows = [("hot", "r", f"f{i}.py", "x") for i in range(60)] + [("none", "r", "a.png", "x")]
+    files = inventory.file_inventory(spark.createDataFrame(rows, FILES))
+    flat = sorted((r["owner"], r["path"] or "", r["total_files"]) for r in inventory.repo_files(files).collect())
+    assert len(flat) == 61 and flat[-1] == ("none", "", 1)
+    for size in (7, 1000):
+        nested = inventory.repo_documents(files, page_files=size).collect()
+        assert sorted(f["path"] for d in nested for f in d["files"]) == sorted(p for _, p, _ in flat if p)
+
+
+def test_walks_are_dealt_out(spark, tmp_path):
+    """More tasks than cores take part although all files lie below one folder."""
+    files = spark.range(400).select(F.concat(F.lit("deep/er/"), F.col("id") % 40, F.lit("/f"), "id").alias("path"), F.lit("x").alias("content"))
+    write_files(files, str(tmp_path / "tree"))
+    listed = list_files(spark.createDataFrame([(str(tmp_path / "tree"),)], "root string"))
+    assert listed.count() == 400 and listed.select("path").distinct().count() == 400
+    tasks = listed.where("path like 'deep/er/%'").select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks >= 4
+    two = list_files(spark.createDataFrame([(str(tmp_path / "tree"),)], "root string"), depth=4)
+    assert two.count() == 400
+    assert list_files(spark.createDataFrame([(str(tmp_path / "tree"),)], "root string"), depth=3).count() == 0

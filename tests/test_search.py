@@ -9,7 +9,7 @@ from trovelight.operators import search
 
 POINTS = "chunk_id string, language string, vector array<float>"
 QUERIES = "query_id long, language string, vector array<float>"
-LAYOUTS = {"broadcast": {}, "blocks": {"broadcast_bytes": 0, "block_bytes": 4096}}
+LAYOUTS = {"one block": {}, "blocks": {"block_bytes": 8192}}
 
 
 def brute(points, queries, k, threshold, metric):
@@ -115,17 +115,32 @@ def test_vectors_alone_reach_python_and_hits_are_broadcast(spark, tmp_path):
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
 
 
-def test_layout_follows_the_measured_size(spark):
+def test_points_are_never_moved(spark):
     queries = spark.createDataFrame([(i, None, [1.0, float(i)]) for i in range(50)], QUERIES)
     points = spark.createDataFrame([("a", "go", [1.0, 0.0])], POINTS)
     size = search.measure(queries)
-    assert (size.rows, size.dim, size.bytes) == (50, 2, 800)
+    assert (size.rows, size.dim, size.bytes) == (50, 2, 50 * 1040)
+    for limit, blocks in ((52_000, 1), (26_000, 2)):
+        plan = search.best_hits(queries, points, block_bytes=limit)._jdf.queryExecution().executedPlan().toString()
+        below = plan.split("== Initial Plan ==")[-1]
+        assert below.count("MapInArrow") == blocks and "Exchange" not in below[below.index("MapInArrow"):]
 
-    def plan(limit):
-        return search.best_hits(queries, points, broadcast_bytes=limit)._jdf.queryExecution().executedPlan().toString()
 
-    assert "MapInArrow" in plan(800) and "CoGroup" not in plan(800)
-    assert "CoGroup" in plan(799) and "MapInArrow" not in plan(799)
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), 1e38])
+def test_odd_points_cost_no_other_its_place(spark, layout, metric, bad):
+    points = [(f"p{i:02d}", "go", v) for i, v in enumerate(random_vectors(20, 4, 5))]
+    queries = [(i, None, v) for i, v in enumerate(random_vectors(6, 4, 6))]
+    odd = [("bad0", "go", [bad] * 4), ("bad1", "go", [bad, 0.0, 0.0, -bad])]
+    expected = brute(points, queries, 5, -2.0, metric)
+    got = run(spark, points + odd, queries, 5, -2.0, metric, parts=1, **LAYOUTS[layout])
+    if bad == 1e38 and metric == "cosine":
+        assert len(got) == 30  # finite, so it may rank
+    else:
+        assert got == expected
+    lost = run(spark, points, queries + [(9, None, [float("nan")] * 4)], 5, -2.0, metric, **LAYOUTS[layout])
+    assert lost == expected
 
 
 def test_only_the_languages_asked_for_are_read(spark, tmp_path):

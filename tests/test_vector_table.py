@@ -20,15 +20,17 @@ def contents(table):
 def test_upsert_life_cycle(spark, tmp_path):
     table = VectorTable.create(spark, str(tmp_path / "t"), 2, encoder="e")
     assert contents(table) == {} and table.check_count(0) == 0
-    first = table.load(points(spark, ("a", "go", "p1", "1"), ("a", "go", "p2", "2"), ("b", "c", "p1", "b")), seq=0)
-    assert (first.rows, first.skipped) == (2, False)
+    first = table.load(points(spark, ("a", "go", "p1", "1"), ("a", "go", "p2", "2"), ("b", "c", "p1", "b")), "s", 0)
+    assert (first.rows, first.replaced, first.skipped) == (2, 1, False)
     assert contents(table) == {"a": "2", "b": "b"}
-    table.load(points(spark, ("b", "c", "p1", "newer"), ("c", "go", "p1", "c")), seq=1)
+    table.load(points(spark, ("b", "c", "p1", "newer"), ("c", "go", "p1", "c")), "s", 1)
     expected = {"a": "2", "b": "newer", "c": "c"}
     assert contents(table) == expected
-    assert table.load(points(spark, ("b", "c", "p1", "replayed")), seq=1).skipped
+    assert table.load(points(spark, ("b", "c", "p1", "replayed")), "s", 1).skipped
     assert table.compact() == 3 and contents(table) == expected
-    assert table.load(points(spark, ("b", "c", "p1", "replayed")), seq=1).skipped
+    assert table.load(points(spark, ("b", "c", "p1", "replayed")), "s", 1).skipped
+    with pytest.raises(ValueError):
+        table.load(points(spark, ("b", "c", "p1", "older")), "s", 0)
     table.load(points(spark, ("a", "go", "p9", "again")))
     assert contents(table) == {**expected, "a": "again"} and table.check_count(3) == 3
     reopened = VectorTable(spark, str(tmp_path / "t"))
@@ -37,6 +39,36 @@ def test_upsert_life_cycle(spark, tmp_path):
         table.check_count(4)
 
 
+def test_sources_do_not_hide_each_other(spark, tmp_path):
+    """Batch numbers of one source say nothing of another's, nor of loads without a source."""
+    table = VectorTable.create(spark, str(tmp_path / "t"), 2)
+    for n in range(3):
+        table.load(points(spark, (f"plain{n}", "go", "p", "x")))
+    for source in ("one", "two"):
+        assert not table.load(points(spark, (source, "go", "p", "x")), source, 0).skipped
+    assert set(contents(table)) == {"plain0", "plain1", "plain2", "one", "two"}
+    with pytest.raises(ValueError):
+        table.load(points(spark, ("x", "go", "p", "x")), "one")
+
+
+def test_state_is_bounded_and_old_folders_can_go(spark, tmp_path):
+    table = VectorTable.create(spark, str(tmp_path / "t"), 2)
+    for n in range(6):
+        table.load(points(spark, (f"p{n}", "go", "p", "x")), "s", n, compact_after=3)
+    assert len(table._state()) <= 1 + 1 + 3 + 1
+    before = contents(table)
+    assert table.vacuum() > 0 and contents(table) == before and len(before) == 6
+    assert len(list((tmp_path / "t" / "state").iterdir())) == 1
+
+
+@pytest.mark.parametrize("bad", [[1.0, float("nan")], [float("inf"), 1.0], [1.0, None], None, [1.0]])
+def test_vectors_without_a_direction_are_refused(spark, tmp_path, bad):
+    table = VectorTable.create(spark, str(tmp_path / "t"), 2)
+    with pytest.raises(PySparkException):
+        table.load(spark.createDataFrame([("a", "go", "r", "p", "f", "c", bad)], POINT))
+    assert contents(table) == {}
+
+
 def test_order_decides_within_a_load(spark, tmp_path):
     table = VectorTable.create(spark, str(tmp_path / "t"), 2)
     rows = points(spark, ("a", "go", "p1", "longer"), ("a", "go", "p2", "x"))
@@ -48,7 +80,7 @@ def test_many_loads_are_compacted(spark, tmp_path):
     table = VectorTable.create(spark, str(tmp_path / "t"), 2)
     for n in range(4):
         table.load(points(spark, ("a", "go", "p", str(n)), (f"id{n}", "go", "p", "x")), compact_after=3)
-    base, loads = table._live()
+    base, loads = table._live(table._state())
     assert len(base) == 1 and len(loads) == 1
     assert contents(table) == {"a": "3", **{f"id{n}": "x" for n in range(4)}}
 
@@ -59,11 +91,10 @@ def test_small_loads_are_merged_without_rewriting_the_base(spark, tmp_path):
     table.compact()
     for n in range(5):
         table.load(points(spark, ("b0", "go", "p", str(n)), (f"new{n}", "c", "p", "y")), compact_after=2)
-    base, loads = table._live()
-    assert base[0]["seq"] == 0 and len(loads) == 1 and loads[0]["kind"] == "merge"
+    base, loads = table._live(table._state())
+    assert base[0]["rows"] == 100 and len(loads) <= 2
     got = contents(table)
     assert len(got) == 105 and got["b0"] == "4" and got["new0"] == "y"
-    assert table.load(points(spark, ("b0", "go", "p", "late")), seq=3).skipped
 
 
 def test_create_is_idempotent_and_checked(spark, tmp_path):

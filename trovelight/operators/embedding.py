@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
+import re
 from dataclasses import dataclass
 from typing import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..settings import DEFAULTS
 
 log = logging.getLogger(__name__)
 Encode = Callable[[Sequence[str]], np.ndarray]
+_PLACES = 500_000  # words a task remembers the place of
 
 
 @dataclass(frozen=True)
@@ -43,29 +44,44 @@ class Encoder:
         return rows.withColumn("vector", encode(F.col(text)))
 
 
+_WORD = re.compile(r"\w+")
+
+
 @dataclass(frozen=True)
 class HashingEncoder:
     """Feature hashing of lower-cased words, scaled to unit length. Needs no model files.
 
-    Spark's own feature transformers do the work inside the JVM; none of them is fitted,
-    so vectors depend on the text and ``dim`` alone.
+    A word's place is the number that the first eight hexadecimal digits of its MD5 spell,
+    modulo ``dim``; a text without words has the zero vector. Words are runs of letters,
+    digits and underscores. Computed in double precision on Arrow batches, kept as floats.
     """
 
     dim: int = 256
 
     @property
     def name(self) -> str:
-        return f"hashing-{self.dim}"
+        return f"md5-hashing-{self.dim}"
 
     def embed(self, rows: DataFrame, text: str = "code", batch: int = DEFAULTS.ENCODE_BATCH) -> DataFrame:
-        words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=1)
-        counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=self.dim)
-        unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
-        hashed = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-        for stage in (words, counts, unit):
-            hashed = stage.transform(hashed)
-        return hashed.withColumn("vector", vector_to_array("_unit", "float32")).drop(
-            "_text", "_words", "_counts", "_unit")
+        dim = self.dim
+
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
+        def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            places: dict[str, int] = {}
+            for series in texts:
+                vectors = []
+                for value in series.fillna(""):
+                    words = _WORD.findall(value)
+                    for word in set(words).difference(places):
+                        places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+                    counts = np.bincount([places[w] for w in words], minlength=dim).astype(float)
+                    norm = np.sqrt((counts * counts).sum())
+                    vectors.append((counts / norm if norm else counts).astype(np.float32))
+                if len(places) > _PLACES:
+                    places.clear()
+                yield pd.Series(vectors, index=series.index, dtype=object)
+
+        return rows.withColumn("vector", encode(F.lower(F.coalesce(F.col(text), F.lit("")))))
 
 
 def first_available(encoders: Sequence[Encoder | HashingEncoder]) -> Encoder | HashingEncoder:

@@ -93,25 +93,33 @@ def repo_summary(inventory: DataFrame, keys: tuple[str, ...] = REPO_KEYS) -> Dat
     )
 
 
+def repo_files(inventory: DataFrame, keys: tuple[str, ...] = REPO_KEYS) -> DataFrame:
+    """Repository records as flat rows: the summary next to each indexed file.
+
+    A repository without indexed files has one row without a file. The shape is the same
+    for repositories of any size; the summary is one row per repository and is read twice.
+    """
+    summary = cut_lineage(repo_summary(inventory, keys))
+    fields = [f for f in FILE_METADATA.fieldNames() if f in inventory.columns and f not in keys]
+    return summary.join(indexed_files(inventory).select(*keys, *fields), list(keys), "left")
+
+
 def repo_documents(inventory: DataFrame, keys: tuple[str, ...] = REPO_KEYS,
                    page_files: int = 10_000) -> DataFrame:
-    """Nested repository records: the summary plus its indexed files as an array.
+    """The same records nested, on request: an array of files per ``(repository, page)``.
 
-    A repository of up to ``page_files`` indexed files is one record (``page`` 0). A
-    larger one is spread by path hash over several pages of about that size, so no
-    single array grows with the repository. ``pages`` tells how many there are.
+    ``page`` is part of the key whatever the size: a repository's files are spread by path
+    hash over ``pages`` pages of about ``page_files``, so no array grows with a repository.
     """
-    # Read twice below, so stored once: one small row per repository.
-    summary = cut_lineage(repo_summary(inventory, keys).withColumn(
-        "pages", F.greatest(F.ceil(F.col("indexed_files") / page_files), F.lit(1))))
-    # One row per (repository, page) with the header; files attach by (keys, page).
-    slots = summary.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)))
-    fields = [f for f in FILE_METADATA.fieldNames() if f in inventory.columns]
-    placed = indexed_files(inventory).join(summary.select(*keys, "pages"), list(keys)).withColumn(
-        "page", F.pmod(F.xxhash64("path"), F.col("pages")))
+    flat = repo_files(inventory, keys)
+    fields = [f for f in FILE_METADATA.fieldNames() if f in flat.columns and f not in keys]
+    pages = F.greatest(F.ceil(F.col("indexed_files") / page_files), F.lit(1)).alias("pages")
+    page = F.when(F.col("path").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("path"), F.col("pages")))
+    slots = repo_summary(inventory, keys).select("*", pages).withColumn(
+        "page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)))
     # Without this the join's partitioning by repository would serve the grouping too,
     # and all pages of a repository would meet in one task.
-    placed = placed.repartition(*keys, "page")
+    placed = flat.select("*", pages).withColumn("page", page).where("path is not null").repartition(*keys, "page")
     grouped = placed.groupBy(*keys, "page").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("files"))
     return slots.join(grouped, [*keys, "page"], "left").withColumn(

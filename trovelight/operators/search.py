@@ -5,18 +5,16 @@ rows. The query vectors are laid out as one matrix, the points stream past it in
 Arrow batches, and a task keeps only its best k per query. What is shuffled is
 ``tasks x queries x k`` small rows; vectors and payload stay where they are read.
 
-Two layouts, chosen by the measured size of the query matrix:
-
-* up to ``BROADCAST_QUERY_BYTES`` it is broadcast and the points are not moved;
-* beyond that, queries and points are both cut into blocks of bounded size and each
-  pair of blocks meets in one task (fragment and replicate), so neither the driver
-  nor any task ever holds the whole query table.
+Query vectors are sent to the tasks in blocks of at most ``block_bytes``, cut by a hash of
+the id; points are read once per block and never moved, so neither the driver nor any task
+ever holds more than one block of queries. The block size changes no result.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -24,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..fixed_values import EXTENSION_LANGUAGE
+from ..session import cut_lineage
 from ..settings import DEFAULTS
 
 _QUERY_SLICE = 512   # queries scored at a time, bounds the score matrix of a batch
@@ -72,53 +71,93 @@ def _ranked(owner: np.ndarray, score: np.ndarray, name: np.ndarray) -> tuple[np.
     return order, place
 
 
+class _Slice:
+    """The best k points so far of a few queries with one language filter."""
+
+    def __init__(self, wanted: np.ndarray, targets: np.ndarray, floor: float):
+        self.wanted, self.targets = wanted, targets
+        self.squares = (targets * targets).sum(axis=1)
+        self.floor = np.full(len(wanted), floor)
+        self.owner, self.score = np.empty(0, np.int64), np.empty(0)
+        self.names = np.empty(0, object)
+
+    def merge(self, owner: np.ndarray, score: np.ndarray, names: np.ndarray, k: int) -> None:
+        """Only the queries with new candidates are ranked again."""
+        touched = np.zeros(len(self.wanted), bool)
+        touched[owner] = True
+        old = touched[self.owner]
+        owner, score = np.concatenate([self.owner[old], owner]), np.concatenate([self.score[old], score])
+        names = np.concatenate([self.names[old], names])
+        order, place = _ranked(owner, score, np.unique(names, return_inverse=True)[1])
+        last = order[place == k - 1]
+        self.floor[owner[last]] = np.maximum(self.floor[owner[last]], score[last])
+        keep = order[place < k]
+        self.owner = np.concatenate([self.owner[~old], owner[keep]])
+        self.score = np.concatenate([self.score[~old], score[keep]])
+        self.names = np.concatenate([self.names[~old], names[keep]])
+
+
 class _TopK:
-    """Best k points per query seen so far, higher score first, then smaller id."""
+    """Best k points per query seen so far, higher score first, then smaller id.
+
+    Vectors with components that are not finite, of queries or points, have no score.
+    """
 
     def __init__(self, queries: QueryMatrix, k: int, threshold: float | None, metric: str):
-        self.queries, self.k, self.metric = queries, k, metric
-        self.q = _unit_rows(queries.vectors) if metric == "cosine" else queries.vectors
-        self.floor = np.full(len(self.q), -np.inf if threshold is None else threshold)
-        self.threshold = threshold
-        self.groups = [(x, np.flatnonzero(queries.languages == x)) for x in np.unique(queries.languages)]
-        self.owner = np.empty(0, dtype=np.int64)
-        self.score = np.empty(0, dtype=np.float64)
-        self.ids = np.empty(0, dtype=object)
+        self.queries, self.k, self.metric, self.threshold = queries, k, metric, threshold
+        self.dim = queries.vectors.shape[1]
+        q = _unit_rows(queries.vectors) if metric == "cosine" else queries.vectors
+        finite = np.isfinite(queries.vectors).all(axis=1)
+        floor = -np.inf if threshold is None else threshold
+        self.slices: list[tuple[str, _Slice]] = []
+        for language in np.unique(queries.languages):
+            wanted = np.flatnonzero((queries.languages == language) & finite)
+            for begin in range(0, len(wanted), _QUERY_SLICE):
+                part = wanted[begin:begin + _QUERY_SLICE]
+                self.slices.append((language, _Slice(part, q[part], floor)))
 
     def add(self, ids: pa.Array, languages: np.ndarray, vectors: np.ndarray) -> None:
-        if not len(ids) or not len(self.q):
+        if not len(ids) or not len(self.queries.languages):
             return
-        if vectors.shape[1] != self.q.shape[1]:
-            raise ValueError(f"query dim {self.q.shape[1]} differs from point dim {vectors.shape[1]}")
-        x = _unit_rows(vectors) if self.metric == "cosine" else vectors
-        for language, wanted in self.groups:
-            rows = np.arange(len(x)) if language == "" else np.flatnonzero(languages == language)
-            if not len(rows):
-                continue
-            for begin in range(0, len(wanted), _QUERY_SLICE):
-                self._add_slice(ids, x, rows, wanted[begin:begin + _QUERY_SLICE])
-
-    def _add_slice(self, ids: pa.Array, x: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> None:
-        block, targets = x[rows], self.q[wanted]
-        rough = block @ targets.T
-        slack = 1e-9
+        if vectors.shape[1] != self.dim:
+            raise ValueError(f"query dim {self.dim} differs from point dim {vectors.shape[1]}")
+        finite = np.isfinite(vectors).all(axis=1)
+        with np.errstate(all="ignore"):  # huge components overflow to infinite bounds, which only cost time
+            x = _unit_rows(vectors) if self.metric == "cosine" else vectors
+            rows_of: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            for language, part in self.slices:
+                if language not in rows_of:
+                    rows = np.flatnonzero(finite if language == "" else finite & (languages == language))
+                    rows_of[language] = rows, x[rows]
+                rows, block = rows_of[language]
+                if len(rows):
+                    self._add_slice(ids, block, rows, part)
+
+    def _add_slice(self, ids: pa.Array, block: np.ndarray, rows: np.ndarray, part: _Slice) -> None:
+        """Scores lie query by query; each has bounds that rounding cannot cross."""
+        rough = part.targets @ block.T
+        slack: float | np.ndarray = 1e-9
         if self.metric == "l2":
-            block_sq, target_sq = (block * block).sum(axis=1), (targets * targets).sum(axis=1)
-            rough = 2 * rough - block_sq[:, None] - target_sq[None, :]
-            slack *= 1 + float(block_sq.max() + target_sq.max())
-        # The k-th best of this batch, or of earlier ones, bounds what can still enter.
-        if len(rows) > self.k:
-            kth = np.partition(rough, -self.k, axis=0)[-self.k]
-            bound = np.maximum(self.floor[wanted], kth) - slack
-        else:
-            bound = self.floor[wanted] - slack
-        r, c = np.nonzero(rough >= bound)
+            squares = (block * block).sum(axis=1)
+            rough = 2 * rough - squares[None, :] - part.squares[:, None]
+            slack = 1e-9 * (1 + squares[None, :] + part.squares[:, None])
+        most = rough + slack
+        most[np.isnan(most)] = np.inf
+        hit = most >= part.floor[:, None]
+        many = hit.sum(axis=1) > self.k
+        if many.any():
+            # the k-th best of this batch bounds what can enter; only where enough candidates are left
+            least = (rough - slack)[many]
+            least[np.isnan(least)] = -np.inf
+            kth = np.partition(least, -self.k, axis=1)[:, -self.k]
+            hit[many] &= most[many] >= kth[:, None]
+        c, r = np.nonzero(hit)
         if not len(r):
             return
-        score = self._exact(block, targets, r, c)
-        if self.threshold is not None:
-            keep = score >= self.threshold
-            r, c, score = r[keep], c[keep], score[keep]
+        score = self._exact(block, part.targets, r, c)
+        keep = score >= (-np.inf if self.threshold is None else self.threshold)
+        keep &= (score >= part.floor[c])
+        r, c, score = r[keep], c[keep], score[keep]
         if not len(r):
             return
         # Only k per query leave the batch, so many equal copies cost one sort of this batch.
@@ -127,7 +166,7 @@ class _TopK:
         by_name = np.unique(names, return_inverse=True)[1]
         order, place = _ranked(c, score, by_name[back])
         order = order[place < self.k]
-        self._merge(wanted[c[order]], score[order], names[back[order]])
+        part.merge(c[order], score[order], names[back[order]], self.k)
 
     def _exact(self, block, targets, r, c) -> np.ndarray:
         """Scores that depend on the two vectors alone, so equal vectors tie exactly."""
@@ -138,22 +177,14 @@ class _TopK:
             out[part] = (a * b).sum(axis=1) if self.metric == "cosine" else -((a - b) ** 2).sum(axis=1)
         return out
 
-    def _merge(self, owner: np.ndarray, score: np.ndarray, names: np.ndarray) -> None:
-        owner = np.concatenate([self.owner, owner])
-        score = np.concatenate([self.score, score])
-        names = np.concatenate([self.ids, names])
-        order, place = _ranked(owner, score, np.unique(names, return_inverse=True)[1])
-        last = order[place == self.k - 1]
-        self.floor[owner[last]] = np.maximum(self.floor[owner[last]], score[last])
-        keep = order[place < self.k]
-        self.owner, self.score, self.ids = owner[keep], score[keep], names[keep]
-
     def result(self, names: list[str]) -> pa.RecordBatch:
-        score = self.score if self.metric == "cosine" else -self.score
+        every = [part for _, part in self.slices]
+        owner = np.concatenate([p.wanted[p.owner] for p in every] or [np.empty(0, np.int64)])
+        score = np.concatenate([p.score for p in every] or [np.empty(0)])
         columns = [
-            self.queries.ids.take(pa.array(self.owner, pa.int64())),
-            pa.array(self.ids.tolist(), pa.string()),
-            pa.array(score, pa.float64()),
+            self.queries.ids.take(pa.array(owner, pa.int64())),
+            pa.array([n for p in every for n in p.names.tolist()], pa.string()),
+            pa.array(score if self.metric == "cosine" else -score, pa.float64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -180,21 +211,9 @@ def _broadcast_job(shared, k: int, threshold: float | None, metric: str):
     return job
 
 
-def _grid_job(k: int, threshold: float | None, metric: str):
-    def job(points: pa.Table, queries: pa.Table) -> pa.Table:
-        best = _TopK(QueryMatrix(*QueryMatrix.parts(queries)), k, threshold, metric)
-        if points.num_rows and queries.num_rows:
-            for batch in points.to_batches(max_chunksize=10_000):
-                _feed(best, batch)
-        return pa.Table.from_batches([best.result(_HIT_COLUMNS)])
-
-    return job
-
-
 def best_hits(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
               threshold: float | None = DEFAULTS.SCORE_THRESHOLD, metric: str = "cosine",
-              broadcast_bytes: int = DEFAULTS.BROADCAST_QUERY_BYTES,
-              block_bytes: int = DEFAULTS.GRID_BLOCK_BYTES,
+              block_bytes: int = DEFAULTS.BROADCAST_QUERY_BYTES,
               size: "QuerySize | None" = None) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the k best points of every query.
 
@@ -202,6 +221,7 @@ def best_hits(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
     Cosine keeps scores at or above ``threshold``; ``l2`` ranks by ascending squared
     distance and takes no threshold. Equal scores rank by ``chunk_id``. Fewer, larger
     read tasks (``spark.sql.files.maxPartitionBytes``) mean fewer partial results.
+    ``queries`` is stored first unless its ``size`` is given, which says it is stored.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -209,18 +229,23 @@ def best_hits(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
         raise ValueError("k must be positive")
     threshold = threshold if metric == "cosine" else None
     asked = queries.select("query_id", "language", "vector")
-    size = size or measure(asked)
+    if size is None:
+        asked = cut_lineage(asked)
+        size = measure(asked)
     pool = asked_points(points, size).select("chunk_id", "language", "vector")
     schema = T.StructType([
         asked.schema["query_id"],
         T.StructField("chunk_id", T.StringType()),
         T.StructField("score", T.DoubleType()),
     ])
-    if size.bytes <= broadcast_bytes:
-        shared = points.sparkSession.sparkContext.broadcast(QueryMatrix.parts(asked.toArrow()))
-        partial = pool.mapInArrow(_broadcast_job(shared, k, threshold, metric), schema)
-    else:
-        partial = _grid(asked, pool, size, block_bytes, schema, _grid_job(k, threshold, metric))
+    context = points.sparkSession.sparkContext
+    blocks = max(1, math.ceil(size.bytes / block_bytes))
+    found = []
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        shared = context.broadcast(QueryMatrix.parts(block.toArrow()))
+        found.append(pool.mapInArrow(_broadcast_job(shared, k, threshold, metric), schema))
+    partial = reduce(DataFrame.unionByName, found)
     score = F.desc("score") if metric == "cosine" else F.asc("score")
     best_first = Window.partitionBy("query_id").orderBy(score, "chunk_id")
     return partial.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
@@ -234,7 +259,8 @@ class QuerySize:
 
     @property
     def bytes(self) -> int:
-        return self.rows * self.dim * 8
+        """Vectors in double precision, and as much as a kilobyte of id and language each."""
+        return self.rows * (self.dim * 8 + 1_024)
 
 
 def measure(queries: DataFrame) -> QuerySize:
@@ -252,26 +278,6 @@ def asked_points(points: DataFrame, size: QuerySize) -> DataFrame:
     return points.filter(F.col("language").isin(*size.languages)) if size.languages else points
 
 
-def _grid(asked: DataFrame, pool: DataFrame, size: QuerySize, block_bytes: int,
-          schema: T.StructType, job) -> DataFrame:
-    """Every block of queries with every block of points, each pair in its own group.
-
-    Blocks are cut by a hash of the id, so their size does not follow any key's popularity.
-    """
-
-    def placed(side: DataFrame, key: Column, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return side.withColumns({
-            own: F.pmod(F.xxhash64(key), F.lit(n_own)),
-            other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))),
-        })
-
-    n_q = max(1, math.ceil(size.bytes / block_bytes))
-    n_p = max(1, math.ceil(pool.count() * size.dim * 8 / block_bytes))
-    left = placed(pool, F.col("chunk_id"), "_p", n_p, "_q", n_q)
-    right = placed(asked, F.col("query_id"), "_q", n_q, "_p", n_p)
-    return left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInArrow(job, schema)
-
-
 def attach_payload(hits: DataFrame, points: DataFrame, columns: list[str],
                    max_rows: int | None = None) -> DataFrame:
     """Payload columns for the hits, read from the table only now.
@@ -279,9 +285,12 @@ def attach_payload(hits: DataFrame, points: DataFrame, columns: list[str],
     ``max_rows`` is the proven size of ``hits`` (queries x k). Below the broadcast limit
     the table is probed in place; otherwise Spark picks the join from its statistics.
     """
-    small = max_rows is not None and max_rows <= DEFAULTS.BROADCAST_HIT_ROWS
-    side = F.broadcast(hits) if small else hits
-    return points.select("chunk_id", *columns).join(side, "chunk_id")
+    if max_rows is not None and max_rows <= DEFAULTS.BROADCAST_HIT_ROWS:
+        return points.select("chunk_id", *columns).join(F.broadcast(hits), "chunk_id")
+    # Many hits: the payload is first reduced to the ids that were hit, then joined.
+    hits = cut_lineage(hits)
+    payload = points.select("chunk_id", *columns).join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return payload.join(hits, "chunk_id")
 
 
 def search(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
@@ -289,8 +298,9 @@ def search(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
            payload: tuple[str, ...] = ("language", "repo", "path", "function_name", "code"),
            **limits: int) -> DataFrame:
     """Ranked hits with their payload: ``query_id, rank, score, chunk_id, <payload>``."""
-    size = measure(queries)
-    hits = best_hits(queries, points, k, threshold, metric, size=size, **limits)
+    asked = cut_lineage(queries.select("query_id", "language", "vector"))
+    size = measure(asked)
+    hits = best_hits(asked, points, k, threshold, metric, size=size, **limits)
     if payload:
         hits = attach_payload(hits, asked_points(points, size), list(payload), size.rows * k)
     return hits.select("query_id", "rank", "score", "chunk_id", *payload)

@@ -6,20 +6,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def last_by_key(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """The row with the greatest ``order`` per key.
+    """The row with the greatest ``order`` per key; equal orders rank by a hash of the row.
 
-    An aggregate, so every map task first reduces its copies of a key to one: a key
-    with very many copies never meets in one task as raw rows.
+    Keys and orders alone are aggregated, with every map task reducing its copies of a key
+    first. Whole rows are compared with the winners of the keys that occur more than once;
+    all others pass. ``rows`` is read twice; store it first if it is costly to compute.
     """
-    # The other columns rank behind ``order``, so equal orders still give one fixed answer.
-    others = [c for c in rows.columns if c != key]
-    packed = F.struct(order.alias("_order"), *[F.col(c) for c in others])
-    last = rows.groupBy(key).agg(F.max(packed).alias("_last"))
-    return last.select(*[F.col(c) if c == key else F.col(f"_last.{c}") for c in rows.columns])
+    others = [F.col(c) for c in rows.columns if c != key]
+    ranked = rows.withColumn("_rank", F.struct(order.alias("order"), F.xxhash64(*others).alias("hash")))
+    winners = ranked.groupBy(F.col(key).alias("_key")).agg(
+        F.max("_rank").alias("_top"), F.count("*").alias("_n")).where("_n > 1")
+    joined = ranked.join(winners, F.col(key).eqNullSafe(F.col("_key")), "left")
+    single = joined.where(F.col("_top").isNull()).select(*rows.columns)
+    first = joined.where(F.col("_rank") == F.col("_top")).dropDuplicates([key])
+    return single.unionByName(first.select(*rows.columns))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``existing`` with every row of ``incoming`` written over it; both unique by key.
+    """``existing`` with every row of ``incoming`` written over it; both must be unique by key
+    (``last_by_key`` makes them so).
 
     Only the keys of ``incoming`` are compared, so the larger side is neither sorted
     nor aggregated, and is not shuffled at all while the incoming keys are small

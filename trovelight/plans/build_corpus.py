@@ -39,12 +39,11 @@ def build_corpus(raw_files: DataFrame, table: VectorTable, chunk_path: str,
     """Chunk, store the chunks, embed what was stored, load.
 
     The stored chunks (Parquet) sit between the two halves, so changing the encoder does
-    not parse the sources again and a lost executor does not either. They are unique by
-    id already, which spares the load its own shuffle by id.
+    not parse the sources again and a lost executor does not either.
     """
     encoder = encoder or HashingEncoder(table.dim)
     if table.encoder and table.encoder != encoder.name:
         raise ValueError(f"table was made for encoder {table.encoder!r}, not {encoder.name!r}")
     spark = raw_files.sparkSession
     latest_chunks(chunk_files(raw_files)).select(*CHUNK_COLUMNS).write.mode("overwrite").parquet(chunk_path)
-    return table.load(embed_chunks(spark.read.schema(CHUNK).parquet(chunk_path), encoder), unique=True)
+    return table.load(embed_chunks(spark.read.schema(CHUNK).parquet(chunk_path), encoder))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import count_lines, decode_utf8
 from ..functions.urls import parse_repo_url
-from ..operators.inventory import annotate_paths, repo_documents
+from ..operators.inventory import annotate_paths, repo_files
 from ..settings import DEFAULTS
 from ..sources.files import list_files, read_contents
 
@@ -39,7 +39,10 @@ def inventory_roots(roots: DataFrame, max_bytes: int = DEFAULTS.MAX_FILE_SIZE_BY
     return read.withColumn("line_count", F.when(F.col("is_indexed"), lines)).drop("content")
 
 
-def repo_records(sessions: DataFrame, inventory: DataFrame, page_files: int = 10_000) -> DataFrame:
-    """Repository records: session columns, counts, language map and nested files."""
-    documents = repo_documents(inventory, ("root",), page_files)
-    return sessions.join(documents.withColumnRenamed("root", "local_path"), "local_path")
+def repo_records(sessions: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Repository records as flat rows: session columns, counts, language map, one file each.
+
+    ``inventory`` is read more than once; store it first where listing is costly.
+    """
+    files = repo_files(inventory, ("root",)).withColumnRenamed("root", "local_path")
+    return sessions.join(files, "local_path")

@@ -59,6 +59,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if there is no such folder."""
+    if not path_exists(spark, path):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return [f.getPath().getName() for f in found]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own making."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back."""
+    path = new_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def cut_lineage(rows: DataFrame) -> DataFrame:
     """A reliable checkpoint: stored in the shared folder, so lost executors do not matter."""
     context = rows.sparkSession.sparkContext

@@ -26,9 +26,8 @@ class Settings:
     REPO_HOST: str = "github.com"
     REPO_WORKSPACE_DIR: str = "workspace"
     MAX_FILE_SIZE_BYTES: int = 100_000
-    # physical limits: what may be broadcast, and the work unit beyond it
+    # physical limits: what may be broadcast at a time
     BROADCAST_QUERY_BYTES: int = 8 << 20
-    GRID_BLOCK_BYTES: int = 32 << 20
     BROADCAST_HIT_ROWS: int = 100_000
     BROADCAST_REPO_ROWS: int = 100_000
 
@@ -42,4 +41,4 @@ class Settings:
         return cls(**found)
 
 
-DEFAULTS = Settings()
+DEFAULTS = Settings.from_env()

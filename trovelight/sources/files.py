@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 from typing import Iterator
 
 import pandas as pd
@@ -17,11 +18,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.paths import file_name
 from ..functions.text import decode_utf8, unix_newlines
 from ..schemas import LISTED_FILE
+from ..session import stored
 
 _ROWS = 10_000
 _BYTES = 32 << 20
 
 
+_SCHEMES = ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss")  # what Arrow can open
+_ALIASES = {"s3a": "s3", "s3n": "s3"}
+_ADDRESS = re.compile(r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/]*)")
+_stores: dict[str, fs.FileSystem] = {}  # one client per authority and worker
+
+
+def _open(address: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address, opened once per authority, and the path within it."""
+    scheme, authority = _ADDRESS.match(address).groups()
+    known = _ALIASES.get(scheme.lower(), scheme.lower())
+    if known not in _SCHEMES:
+        raise ValueError(f"cannot open {scheme}:// addresses; use one of {', '.join(_SCHEMES)}")
+    renamed = known + address[len(scheme):]
+    if (root := f"{known}://{authority}") not in _stores:
+        _stores[root], path = fs.FileSystem.from_uri(renamed)
+        return _stores[root], path
+    inner = renamed[len(root):]
+    return _stores[root], authority + inner if known in ("s3", "gs", "gcs") else inner
+
+
 def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
     """``(name, is_folder, size)`` directly below; links to folders are not followed."""
     if "://" not in folder:
@@ -35,7 +57,7 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
             elif entry.is_file():
                 yield entry.name, False, _size(entry)
         return
-    store, path = fs.FileSystem.from_uri(folder)
+    store, path = _open(folder)
     for info in store.get_file_info(fs.FileSelector(path)):
         yield info.base_name, info.type == fs.FileType.Directory, info.size or 0
 
@@ -43,7 +65,7 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
 def _size(entry: os.DirEntry) -> int:
     try:
         return entry.stat().st_size
-    except OSError:
+    except (FileNotFoundError, PermissionError):
         return 0  # still counted, never indexed
 
 
@@ -51,7 +73,7 @@ def _read(path: str) -> bytes:
     if "://" not in path:
         with open(path, "rb") as f:
             return f.read()
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = _open(path)
     with store.open_input_stream(inner) as f:
         return f.read()
 
@@ -65,7 +87,7 @@ def _write(path: str, content: bytes, attempt: str) -> None:
             f.write(content)
         os.replace(partial, path)
         return
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = _open(path)
     store.create_dir(os.path.dirname(inner), recursive=True)
     with store.open_output_stream(inner) as f:
         f.write(content)
@@ -110,21 +132,35 @@ def _walk(depth: int | None):
     return job
 
 
-def list_files(roots: DataFrame, column: str = "root", split_depth: int = 1) -> DataFrame:
+def list_files(roots: DataFrame, column: str = "root", depth: int | None = None,
+               enough: int | None = None) -> DataFrame:
     """Every regular file below each root: ``root, path, absolute_path, size_bytes``.
 
-    The first ``split_depth`` levels are listed by root; the folders found there are
-    then dealt out to all tasks, so one huge root does not stay with one task.
+    Level by level, the folders found are dealt out to all tasks anew, until there are
+    ``enough`` of them (four per core) for each task to walk its own to the end; so neither
+    one huge root nor one huge folder stays with one task. The levels are stored. ``depth``
+    limits how many levels are looked at.
     """
-    tasks = roots.sparkSession.sparkContext.defaultParallelism * 2
+    spark = roots.sparkSession
+    tasks = spark.sparkContext.defaultParallelism * 2
+    enough = 2 * tasks if enough is None else enough
     schema = "root string, path string, absolute_path string, size_bytes long, is_folder boolean"
     clean = F.regexp_replace(F.regexp_replace(F.col(column), _LOCAL_SCHEME, ""), "(?<=.)/+$", "")
-    top = roots.select(
+    folders = roots.select(
         F.col(column).alias("root"), F.lit("").alias("path"), clean.alias("absolute_path"),
         F.lit(0).cast("long").alias("size_bytes"), F.lit(True).alias("is_folder"))
-    shallow = top.repartition(tasks, "root").mapInPandas(_walk(split_depth), schema)
-    deep = shallow.repartition(tasks, "absolute_path").mapInPandas(_walk(None), schema)
-    return deep.select(*LISTED_FILE.fieldNames())
+    found, level = [], 0
+    while True:
+        rest = None if depth is None else depth - level
+        dealt = folders.repartition(tasks, "absolute_path")
+        if level and (rest == 0 or not (n := folders.count()) or n >= enough):
+            if rest != 0 and n:
+                found.append(dealt.mapInPandas(_walk(rest), schema).where("not is_folder"))
+            break
+        listed = stored(dealt.mapInPandas(_walk(1), schema), "listing")
+        found.append(listed.where("not is_folder"))
+        folders, level = listed.where("is_folder"), level + 1
+    return reduce(DataFrame.unionByName, found).select(*LISTED_FILE.fieldNames())
 
 
 def _reader(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,8 +169,8 @@ def _reader(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, (path, wanted) in enumerate(zip(frame["absolute_path"], frame["_wanted"])):
             try:
                 content = _read(path) if wanted else None
-            except OSError:
-                content = None
+            except (FileNotFoundError, PermissionError):
+                content = None  # any other error is not the file's own and fails the task
             held.append(content)
             size += len(content or b"")
             if size >= _BYTES:
@@ -163,7 +199,7 @@ def scan_raw_files(spark: SparkSession, root: str) -> DataFrame:
     Undecodable bytes are dropped and line ends become line feeds; unreadable files are
     skipped.
     """
-    listed = list_files(spark.createDataFrame([(root,)], "root string"))
+    listed = list_files(spark.createDataFrame([(root,)], "root string"), depth=2)
     direct = listed.filter(F.size(F.split("path", "/")) == 2)
     read = read_contents(direct).filter(F.col("content").isNotNull())
     return read.select(

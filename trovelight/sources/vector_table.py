@@ -1,10 +1,13 @@
 """A vector table on Parquet: create, upsert, read, compact.
 
-Every load writes its own folder and then one row in the table's log, which makes it
-visible; a failed load leaves nothing readers see, and a load whose sequence number is
-already in the log is skipped. Loads are resolved when read: only the ids loaded since
-the last compaction are compared with the base, so an upsert costs its own size and
-not the table's. One writer at a time is assumed.
+Every load writes its own folder and then publishes the table's next state, one small
+file that lists the folders in use; a failed load leaves nothing readers see. The table
+numbers its loads. A load may carry an identity, its source and the batch's number there:
+the pair that was loaded last is recognised when it comes again, an older one is refused,
+and loads of other sources, or without an identity, are never taken for replays. Loads are
+resolved when read: only the ids loaded since the last compaction are compared with the
+base, so an upsert costs its own size and not the table's. One writer at a time is
+assumed; a second one fails, because a state is never written twice.
 """
 
 from __future__ import annotations
@@ -18,23 +21,25 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from ..operators.search import search
 from ..operators.upsert import last_by_key, upsert
 from ..schemas import VECTOR_POINT
-from ..session import path_exists
+from ..session import list_names, path_exists, remove, stored
 from ..settings import DEFAULTS
 
-_LOG = "seq long, kind string, folder string, rows long, dim int, metric string, encoder string"
+_STATE = ("kind string, seq long, folder string, rows long, dim int, metric string, encoder string, "
+          "source string, batch long")
 
 
 @dataclass(frozen=True)
 class LoadResult:
     seq: int
     rows: int  # distinct ids written; 0 when the load had been done before
+    replaced: int  # rows offered whose id another row of the load holds
     skipped: bool
 
 
 class VectorTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        created = [r for r in self._log() if r["kind"] == "create"]
+        created = [r for r in self._state() if r["kind"] == "create"]
         if not created:
             raise FileNotFoundError(f"no vector table at {path}")
         self.dim, self.metric, self.encoder = (created[0][c] for c in ("dim", "metric", "encoder"))
@@ -48,60 +53,75 @@ class VectorTable:
         try:
             table = cls(spark, path)
         except FileNotFoundError:
-            _append_log(spark, path.rstrip("/"), kind="create", dim=dim, metric=metric, encoder=encoder)
+            _publish(spark, path.rstrip("/"), [_entry(kind="create", dim=dim, metric=metric, encoder=encoder)])
             return cls(spark, path)
         asked, found = (dim, metric, encoder), (table.dim, table.metric, table.encoder)
         if asked != found:
             raise ValueError(f"vector table at {path} holds {found}, not {asked}")
         return table
 
-    def _log(self) -> list:
-        """The log: one row per load since creation, so small enough for the driver."""
-        if not path_exists(self.spark, f"{self.path}/log"):
+    def _state(self) -> list[dict]:
+        """What the table consists of: a row per folder in use and per source of loads."""
+        version = _version(self.spark, self.path)
+        if not version:
             return []
-        rows = self.spark.read.schema(_LOG).json(f"{self.path}/log").collect()
-        return sorted(rows, key=lambda r: -1 if r["seq"] is None else r["seq"])
+        rows = self.spark.read.schema(_STATE).json(f"{self.path}/state/{version}").collect()
+        return [r.asDict() for r in rows]
 
-    def _live(self) -> tuple[list, list]:
-        """Last compaction (none or one entry), and what was loaded after it.
+    @staticmethod
+    def _live(state: list[dict]) -> tuple[list[dict], list[dict]]:
+        """The base (none or one entry), and what was loaded after it."""
+        base = [r for r in state if r["kind"] == "base"]
+        return base, sorted((r for r in state if r["kind"] == "load"), key=lambda r: r["seq"])
 
-        A merge stands for all loads up to its sequence number.
-        """
-        log = self._log()
-        base = [r for r in log if r["kind"] == "compact"][-1:]
-        since = base[0]["seq"] if base else -1
-        merged = [r for r in log if r["kind"] == "merge" and r["seq"] > since][-1:]
-        since = merged[0]["seq"] if merged else since
-        return base, merged + [r for r in log if r["kind"] == "load" and r["seq"] > since]
-
-    def load(self, points: DataFrame, seq: int | None = None, order: Column | None = None,
-             unique: bool = False, compact_after: int = 16) -> LoadResult:
+    def load(self, points: DataFrame, source: str | None = None, batch: int | None = None,
+             order: Column | None = None, compact_after: int = 16) -> LoadResult:
         """Upsert ``points`` by ``chunk_id``; the last by ``order`` wins within the load.
 
-        Sequence numbers grow from load to load; one not above the last is a replay and is
-        skipped. ``unique`` says the ids are distinct already. Vectors of another length
-        are an error.
+        ``source`` and ``batch`` identify a load that may be repeated. Vectors of another
+        length or with components that are missing or not finite are an error.
         """
-        base, loads = self._live()
-        last = max((r["seq"] for r in base + loads), default=-1)
-        seq = last + 1 if seq is None else seq
-        if seq <= last:
-            return LoadResult(seq, 0, True)
-        latest = points if unique else last_by_key(points, "chunk_id", F.col("path") if order is None else order)
-        sized = F.when(F.size("vector") == self.dim, F.col("vector")).otherwise(
-            F.raise_error(F.lit(f"vector length differs from the table's {self.dim}")).cast("array<float>"))
-        checked = latest.withColumn("vector", sized).select(*VECTOR_POINT.fieldNames())
-        rows = self._write(checked, "load", seq)
-        if len(loads) + 1 >= compact_after:
+        state = self._state()
+        seq = 1 + max((r["seq"] for r in state if r["seq"] is not None), default=-1)
+        if (source is None) != (batch is None):
+            raise ValueError("a load's identity is its source and its batch")
+        seen = next((r["batch"] for r in state if r["kind"] == "source" and r["source"] == source), None)
+        if source is not None and seen is not None and batch <= seen:
+            if batch == seen:
+                return LoadResult(seq - 1, 0, 0, True)
+            raise ValueError(f"batch {batch} of {source!r} comes after batch {seen}")
+        vector = F.col("vector")
+        good = (F.size(vector) == self.dim) & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+        error = f"vector length differs from the table's {self.dim}, or a component is missing or not finite"
+        checked = F.when(F.coalesce(good, F.lit(False)), vector).otherwise(
+            F.raise_error(F.lit(error)).cast("array<float>"))
+        place = (F.col("path") if order is None else order).alias("_place")
+        offered = stored(points.withColumn("vector", checked).select(*VECTOR_POINT.fieldNames(), place), "load")
+        latest = last_by_key(offered, "chunk_id", F.col("_place")).drop("_place")
+        written = self._write(latest, "load", seq)
+        lost = offered.count() - written["rows"]
+        kept = [r for r in state if not (r["kind"] == "source" and r["source"] == source)]
+        if source is not None:
+            kept.append(_entry(kind="source", seq=seq, source=source, batch=batch))
+        self._publish(kept + [written])
+        base, loads = self._live(kept + [written])
+        if len(loads) >= compact_after:
             # Rewrite the base only when the loads have grown to a good part of it.
-            pending = rows + sum(r["rows"] for r in loads)
-            if not base or pending * 4 >= base[0]["rows"]:
+            if not base or sum(r["rows"] for r in loads) * 4 >= base[0]["rows"]:
                 self.compact()
             else:
-                self._write(self._recent(self._live()[1]), "merge", seq)
-        return LoadResult(seq, rows, False)
+                self._replace(loads, self._write(self._recent(loads), "load", seq))
+        return LoadResult(seq, written["rows"], lost, False)
+
+    def _replace(self, old: list[dict], new: dict) -> None:
+        """Publish a state in which one entry stands for several."""
+        gone = {r["folder"] for r in old}
+        self._publish([r for r in self._state() if r["folder"] is None or r["folder"] not in gone] + [new])
 
-    def _write(self, points: DataFrame, kind: str, seq: int) -> int:
+    def _publish(self, entries: list[dict]) -> None:
+        _publish(self.spark, self.path, entries)
+
+    def _write(self, points: DataFrame, kind: str, seq: int) -> dict:
         """Folders per language, files sorted by repository and path within.
 
         ``rebalance`` lets adaptive execution split a language that holds most rows over
@@ -115,9 +135,7 @@ class VectorTable:
             .sortWithinPartitions("language", "repo", "path")
         )
         laid_out.write.partitionBy("language").parquet(folder)
-        rows = seen.get["rows"]
-        _append_log(self.spark, self.path, seq=seq, kind=kind, folder=folder, rows=rows)
-        return rows
+        return _entry(kind=kind, seq=seq, folder=folder, rows=seen.get["rows"])
 
     def _read_folder(self, entry) -> DataFrame:
         names = VECTOR_POINT.fieldNames()
@@ -127,7 +145,7 @@ class VectorTable:
 
     def read(self) -> DataFrame:
         """The current points, one row per id. A filter on language prunes folders."""
-        base, loads = self._live()
+        base, loads = self._live(self._state())
         current = self._read_folder(base[0]) if base else None
         if not loads:
             return self.spark.createDataFrame([], VECTOR_POINT) if current is None else current
@@ -144,10 +162,23 @@ class VectorTable:
 
     def compact(self) -> int:
         """Fold all loads into one base; returns its row count."""
-        base, loads = self._live()
+        base, loads = self._live(self._state())
         if not loads:
             return base[0]["rows"] if base else 0
-        return self._write(self.read(), "compact", loads[-1]["seq"])
+        new = self._write(self.read(), "base", loads[-1]["seq"])
+        self._replace(base + loads, new)
+        return new["rows"]
+
+    def vacuum(self) -> int:
+        """Remove folders and states no longer in use; only while nobody reads the table."""
+        used = {r["folder"] for r in self._state() if r["folder"]}
+        version = _version(self.spark, self.path)
+        old = [f"{self.path}/data/{n}" for n in list_names(self.spark, f"{self.path}/data")]
+        old = [f for f in old if f not in used]
+        old += [f"{self.path}/state/{n}" for n in list_names(self.spark, f"{self.path}/state") if n != version]
+        for folder in old:
+            remove(self.spark, folder)
+        return len(old)
 
     def check_count(self, expected: int) -> int:
         """The number of points, which must be ``expected``."""
@@ -164,7 +195,19 @@ class VectorTable:
         return search(queries, self.read(), k, threshold, self.metric, **options)
 
 
-def _append_log(spark: SparkSession, path: str, **entry) -> None:
-    names = [part.strip().split(" ")[0] for part in _LOG.split(",")]
-    row = spark.createDataFrame([tuple(entry.get(n) for n in names)], _LOG)
-    row.coalesce(1).write.mode("append").json(f"{path}/log")
+def _entry(**values) -> dict:
+    names = [part.strip().split(" ")[0] for part in _STATE.split(",")]
+    return {n: values.get(n) for n in names}
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The name of the latest state that was written to its end."""
+    names = sorted(list_names(spark, f"{path}/state"), reverse=True)
+    return next((n for n in names if path_exists(spark, f"{path}/state/{n}/_SUCCESS")), None)
+
+
+def _publish(spark: SparkSession, path: str, entries: list[dict]) -> None:
+    version = _version(spark, path)
+    following = 0 if version is None else int(version) + 1
+    rows = spark.createDataFrame([tuple(e.values()) for e in entries], _STATE)
+    rows.coalesce(1).write.json(f"{path}/state/{following:010d}")

@@ -14,14 +14,14 @@ def start_chunk_load(raw_files: DataFrame, table: VectorTable, checkpoint: str,
                      encoder: Encoder | HashingEncoder | None = None) -> StreamingQuery:
     """Load all files available now from a stream of ``(file_name, code)``, then stop.
 
-    The batch id is the load's sequence number: a batch replayed after a failure is
-    recognised in the table's log and not loaded twice.
+    A load is told by its checkpoint and batch: a batch replayed after a failure is
+    recognised and not loaded twice, while other streams and batch loads share the table.
     """
     encoder = encoder or HashingEncoder(table.dim)
 
     def load(batch: DataFrame, batch_id: int) -> None:
         points = embed_chunks(latest_chunks(chunk_files(batch)), encoder)
-        table.load(points, seq=batch_id, unique=True)
+        table.load(points, source=checkpoint.rstrip("/"), batch=batch_id)
 
     return (
         raw_files.writeStream.foreachBatch(load)
