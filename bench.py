@@ -19,6 +19,8 @@ HEADLINE = (
     "chunks_regex", "chunks_python", "chunks_javascript", "chunks_all", "chunk_upsert",
     "file_inventory", "repo_languages", "select_repos", "select_files",
     "validate_prompts", "clean_responses", "interaction_log", "embed_corpus",
+    "corpus_build", "prompt_answers", "vector_table_search", "stream_upsert", "source_scan",
+    "repo_documents", "repo_records",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 

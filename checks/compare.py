@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -51,7 +52,7 @@ def difference(spark, sf_dir: str, key: str) -> str | None:
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     keys = sys.argv[2:] or list(QUERIES)
-    spark = build_session("compare", "local[8]", 8)
+    spark = build_session("compare", os.environ.get("COMPARE_MASTER", "local[8]"), 8)
     spark.sparkContext.setLogLevel("ERROR")
     for key in keys:
         began = time.time()
