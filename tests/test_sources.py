@@ -20,12 +20,12 @@ TREE = {".env": b"x", ".git/h": b"x", "_priv/k.py": b"a\nb\n", "a/__main__.py":
         "with space.py": b"x", "node_modules/z.js": b"z", "a/b/bad.py": b"ab\xffcd\xc3\xa9\n"}
 
 
-@pytest.mark.parametrize("depth", [1, 2, 5])
-def test_listing_sees_every_file(spark, tmp_path, depth):
+@pytest.mark.parametrize("enough", [1, 2, 500])
+def test_listing_sees_every_file(spark, tmp_path, enough):
     lay_out(tmp_path, TREE)
     os.symlink(tmp_path, tmp_path / "a" / "loop")
     roots = spark.createDataFrame([(str(tmp_path) + "/",)], "root string")
-    rows = {r["path"]: r for r in file_io.list_files(roots, split_depth=depth).collect()}
+    rows = {r["path"]: r for r in file_io.list_files(roots, enough=enough).collect()}
     assert {p: r["size_bytes"] for p, r in rows.items()} == {p: len(c) for p, c in TREE.items()}
     assert all(r["absolute_path"] == f"{tmp_path}/{p}" for p, r in rows.items())
 
