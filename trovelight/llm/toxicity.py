@@ -27,9 +27,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
+from .vectors import matrix
 
 SAMPLE = 20_000
-MARKERS = 512
+MARKERS = 256
+FIT_TASKS = 8  # that the sample is fitted in
 LEAST_TOXIC = 5  # toxic sample texts a marker begins words of
 LEAST_LIFT, LEAST_GAIN = 4.0, 20.0  # a marker's share of toxic texts over that of others; log-likelihood gained
 PREFIXES = range(4, 9)
@@ -290,20 +292,36 @@ class Scorer:
         return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Weights of a logistic regression with a squared penalty, the intercept last (Newton's method)."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+def fit_logistic(rows: DataFrame, width: int, penalty: float = 0.3, rounds: int = 25) -> np.ndarray:
+    """Weights of a logistic regression with a squared penalty, the intercept last (Newton's method).
+
+    ``rows`` has ``x`` (``width`` numbers) and ``y``. Each round sums slope and curvature in the
+    tasks; the driver solves one system of ``width + 1`` unknowns.
+    """
+    n = width + 1
+    weights, ridge = np.zeros(n), np.full(n, penalty)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        slope = x.T @ (p - y) + ridge * w
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(ridge)
+        shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+        def sums(batches):
+            slope, curve = np.zeros(n), np.zeros((n, n))
+            for batch in batches:
+                x = np.hstack([matrix(batch.column("x")), np.ones((batch.num_rows, 1))])
+                p = 1 / (1 + np.exp(-np.clip(x @ shared.value, -35, 35)))
+                slope += x.T @ (p - batch.column("y").to_numpy())
+                curve += (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+            yield [(slope.tobytes(), curve.tobytes())]
+
+        slope, curve = ridge * weights, np.diag(ridge)
+        for part in common.map_arrow(rows, sums, "slope binary, curve binary").toLocalIterator():  # one per task
+            slope = slope + np.frombuffer(part["slope"])
+            curve = curve + np.frombuffer(part["curve"]).reshape(n, n)
         step = np.linalg.solve(curve, slope)
-        w -= step
+        weights = weights - step
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return weights
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", sample_rows: int = SAMPLE,
@@ -329,14 +347,14 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id"
 
         return common.map_batches(frame, start, schema)
 
-    learned = rows_of(sample.select(F.col("restored").alias("text"), "toxic"), lambda x: x.tolist(), ["toxic"],
-                      "toxic int, x array<double>").toPandas()  # ``sample_rows`` rows at most
-    y = learned["toxic"].to_numpy(float)
+    shares = sample.agg(F.avg("toxic")).first()[0] or 0.0
     if markers:
-        weights = fit_logistic(np.stack(learned["x"].to_list()), y)
+        learned = rows_of(sample.select(F.col("restored").alias("text"), F.col("toxic").cast("double").alias("y")),
+                          lambda x: list(x), ["y"], "y double, x array<double>")
+        learned = common.stored(learned.repartition(FIT_TASKS), "toxic-features")
+        weights = fit_logistic(learned, len(markers) + 3)
     else:
-        share = y.mean() if len(y) else 0.0
-        weights = np.array([0.0] * 3 + [math.log(max(share, 1e-9) / max(1 - share, 1e-9))])
+        weights = np.array([0.0] * 3 + [math.log(max(shares, 1e-9) / max(1 - shares, 1e-9))])
 
     def finish(x: np.ndarray):
         return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -35, 35)))
