@@ -122,7 +122,8 @@ def missed_pairs(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent:
         "band", "node", F.coalesce("found", "node").alias("component")), "members")
     mixed = members.groupBy("band").agg(
         F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = common.stored(mixed.where("low <> high").select("band", "m"), "mixed-buckets")
+    # of two members the star has tried the only pair there is
+    mixed = common.stored(mixed.where("low <> high and m > 2").select("band", "m"), "mixed-buckets")
     # a bucket of more than one block: each block meets every other, and itself
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.hash("node"), blocks)
@@ -169,8 +170,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: i
     classes = rows.where((F.col("n") > 0) & F.col("key").isNotNull()).groupBy("one", "two").agg(
         F.min("key").alias("node"))
     classes = common.stored(classes, "classes")
+    own = F.when(F.col("key").isNotNull(), F.col("node"))
     rows = common.stored(rows.join(classes, ["one", "two"], "left").select(
-        "key", "n", "node", F.when(F.col("key") == F.col("node"), F.col("bands")).alias("bands")), "documents")
+        "key", "n", own.alias("node"), F.when(F.col("key") == F.col("node"), F.col("bands")).alias("bands")), "documents")
 
     buckets = crowded(rows.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band")))
     wanted = common.stored(buckets.select("node").distinct(), "candidates")

@@ -23,17 +23,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mixed(np.arange(1, 257, dtype=U) * _STEP)  # a random number for each byte value
-_powers = np.ones(1, U)
+_BASE = _MULTIPLIERS[0]
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of an odd constant modulo 2**64, at least ``n`` of them."""
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 1024), _MULTIPLIERS[0], U)
+def powers(base: U, n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2**64, at least ``n`` of them."""
+    if len(_powers.get(int(base), ())) < n:
+        steps = np.full(1 << max(10, (n - 1).bit_length()), base, U)
         steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
+        _powers[int(base)] = np.multiply.accumulate(steps)
+    return _powers[int(base)]
 
 
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,31 +42,41 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def word_numbers(text: str) -> np.ndarray:
-    """A number for each word, A-Z lower-cased."""
-    raw = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
+def sequence_numbers(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each run of ``values``: differences of one running sum, moved to a common place.
+
+    The sum weighs each place by a power of an odd base, which has an inverse modulo 2**64.
+    """
+    inverse = U(pow(int(_BASE), -1, 1 << 64))
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values * powers(_BASE, len(values))[:len(values)], out=total[1:])
+    return mixed((total[ends] - total[begins]) * powers(inverse, len(values))[begins] + (ends - begins).astype(U))
+
+
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each word of lower-cased UTF-8 bytes, with begins and ends."""
     begins, ends = word_bounds(raw)
     if not len(begins):
-        return np.zeros(0, U)
-    inside = ~_SPACE[raw]
-    lengths = ends - begins
-    letters = raw[inside]
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(first, lengths)
-    terms = _BYTE[letters] * powers(int(lengths.max()))[place]
-    return mixed(np.add.reduceat(terms, first) + lengths.astype(U))
+        return np.zeros(0, U), begins, ends
+    return sequence_numbers(_BYTE[raw], begins, ends), begins, ends
+
+
+def word_numbers(text: str) -> np.ndarray:
+    """A number for each word of a text, A-Z lower-cased."""
+    return words_of(np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8))[0]
+
+
+def windows(words: np.ndarray, k: int) -> np.ndarray:
+    """A number for each run of ``k`` words."""
+    total = np.full(len(words) - k + 1, U(k), U)
+    for weight, i in zip(powers(_MULTIPLIERS[1], k), range(k)):
+        total += words[i:len(words) - k + 1 + i] * weight
+    return mixed(total)
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct shingles of ``k`` words; fewer words make one shingle of them all."""
-    n = len(words)
-    if not n:
-        return words
-    size = min(k, n)
-    total = np.full(n - size + 1, U(size), U)
-    for i in range(size):
-        total = mixed(total * _MULTIPLIERS[1] + words[i:n - size + 1 + i] * _MULTIPLIERS[2])
-    return np.unique(total)
+    return np.unique(windows(words, min(k, len(words)))) if len(words) else words
 
 
 def signature(shingles: np.ndarray, probes: np.ndarray) -> np.ndarray:

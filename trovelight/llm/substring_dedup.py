@@ -37,7 +37,7 @@ LEAST_WORDS, GAP, LEAST_PASSAGE = 6, 12, 25
 FILTER_BITS = 1 << 26  # 8 MB
 PAGE_BITS = 1 << 15  # of one row of Spark's bitmap aggregate
 
-_SEEDS = shingles.mixed(np.arange(101, 101 + BANDS, dtype=np.uint64))
+_FACTORS = shingles.mixed(np.arange(101, 101 + BANDS, dtype=np.uint64)) | np.uint64(1)
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".!?\"')"]] = True
 _STOPS = np.zeros(256, bool)
@@ -48,9 +48,9 @@ class Paragraphs:
     """The paragraphs of one text: word ranges, bytes, and numbers that tell them apart."""
 
     def __init__(self, text: str):
-        self.raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        self.words = shingles.word_numbers(text)
-        self.begins, self.ends = shingles.word_bounds(self.raw)
+        content = text.encode("utf-8", "replace")
+        self.raw = np.frombuffer(content, np.uint8)
+        self.words, self.begins, self.ends = shingles.words_of(np.frombuffer(content.lower(), np.uint8))
         n = len(self.words)
         if not n:
             self.first = self.last = np.zeros(0, np.int64)
@@ -61,7 +61,7 @@ class Paragraphs:
         capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
         tail, before = raw[self.ends - 1], raw[np.maximum(self.ends - 2, 0)]
         stop = _STOPS[tail] | (_MARKS[tail] & _STOPS[before])
-        lines = np.diff(np.cumsum(raw == 10)[self.begins], prepend=-1) != 0
+        lines = np.diff(np.searchsorted(np.flatnonzero(raw == 10), self.begins), prepend=-1) != 0
         opens = capital | lines
         opens[1:] |= stop[:-1]
         first = np.flatnonzero(opens)
@@ -74,16 +74,7 @@ class Paragraphs:
 
     def numbers(self) -> np.ndarray:
         """A number for each paragraph's sequence of words."""
-        lengths = self.last - self.first
-        place = np.arange(len(self.words)) - np.repeat(self.first, np.diff(np.append(self.first, len(self.words)))) \
-            if len(self.first) and self.first[0] == 0 else None
-        if place is None:  # words before the first paragraph
-            place = np.arange(len(self.words))
-            starts = np.zeros(len(self.words), np.int64)
-            starts[self.first] = self.first
-            place = place - np.maximum.accumulate(starts)
-        terms = self.words * shingles.powers(int(place.max()) + 1)[place]
-        return shingles.mixed(self._reduce(np.add, terms, self.last) + lengths.astype(np.uint64))
+        return shingles.sequence_numbers(self.words, self.first, self.last)
 
     def _reduce(self, how, values: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """``how`` over values[first:stop] of each paragraph."""
@@ -93,17 +84,13 @@ class Paragraphs:
 
     def shingles(self) -> np.ndarray:
         """The shingle that begins at each word, the last few words aside."""
-        total = np.full(len(self.words) - SHINGLE + 1, np.uint64(SHINGLE))
-        for i in range(SHINGLE):
-            total = shingles.mixed(total * np.uint64(0x165667B19E3779F9)
-                                   + self.words[i:len(self.words) - SHINGLE + 1 + i])
-        return total
+        return shingles.windows(self.words, SHINGLE)
 
     def minima(self) -> np.ndarray:
         """MinHashes (paragraphs x bands); equal numbers of different bands stay apart."""
-        own = self.shingles()
-        return np.stack([shingles.mixed(self._reduce(np.minimum, shingles.mixed(own ^ s), self.last - SHINGLE + 1) + s)
-                         for s in _SEEDS], axis=1)
+        own, stops = self.shingles(), self.last - SHINGLE + 1
+        least = [self._reduce(np.minimum, own * f, stops) for f in _FACTORS]
+        return shingles.mixed(np.stack(least, axis=1) + _FACTORS)
 
     def code_points(self) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of each paragraph in code points."""
@@ -146,12 +133,15 @@ def bit_filter(numbers: DataFrame) -> np.ndarray:
     return bits
 
 
-def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """(key, number, start, end, place, words, set, image) of the paragraphs the filter passes."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
+def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame, compared: DataFrame) -> DataFrame:
+    """(key, number, start, end, place, words, set, image) of the paragraphs the filter passes.
+
+    Sets and images are null where ``compared``, the numbers to be compared, has no such number.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((bit_filter(wanted), bit_filter(compared)))
 
     def start():
-        bits = shared.value
+        filters = shared.value
 
         def work(batch):
             out = [[] for _ in range(8)]
@@ -161,17 +151,20 @@ def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame) -> DataFram
                     continue
                 numbers = found.numbers().view(np.int64)
                 at = numbers % FILTER_BITS
-                hit = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
+                passes, sets = ((bits[at >> 3] >> (at & 7) & 1).astype(bool) for bits in filters)
+                hit = np.flatnonzero(passes)
                 if not len(hit):
                     continue
-                own = found.shingles()
+                own = found.shingles() if sets.any() else None
                 begin, end = found.code_points()
-                for p in hit.tolist():
-                    unit = np.unique(own[found.first[p]:found.last[p] - SHINGLE + 1])
-                    for column, value in zip(out, (
-                            i, numbers[p], begin[p], end[p], found.first[p], found.last[p] - found.first[p],
-                            unit.view(np.int64), np.unique(unit.astype(np.uint16)).tobytes())):
-                        column.append(value)
+                first, last = found.first[hit], found.last[hit]
+                for column, values in zip(out, (
+                        [i] * len(hit), numbers[hit], begin[hit], end[hit], first, last - first)):
+                    column.extend(values)
+                for p, a, b in zip(hit.tolist(), first.tolist(), last.tolist()):
+                    unit = np.unique(own[a:b - SHINGLE + 1]) if sets[p] else None
+                    out[6].append(None if unit is None else unit.view(np.int64))
+                    out[7].append(None if unit is None else np.unique(unit.astype(np.uint16)).tobytes())
             return [common.repeated(batch.column(0), out[0]), *out[1:]]
 
         return work
@@ -197,13 +190,16 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", percent: int = 80,
     several = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     several = common.stored(several.where("low <> high").select("band"), "colliding")
     buckets = crowded(banded.join(several, "band").distinct())
-    wanted = common.stored(repeated.unionByName(buckets.select(F.col("node").alias("number"))), "wanted")
-
-    flagged = common.stored(flagged_paragraphs(docs, key, wanted), "flagged")
-    nodes = buckets.select(F.col("node").alias("number")).distinct()
-    sets = flagged.join(nodes, "number", "left_semi").groupBy("number").agg(
-        F.min_by(F.struct("set", "image"), "key").alias("of"))
-    sets = common.stored(sets.select(F.col("number").alias("node"), "of.set", "of.image"), "paragraph-sets")
+    nodes = common.stored(buckets.select(F.col("node").alias("number")).distinct(), "compared")
+    wanted = common.stored(repeated.unionByName(nodes), "wanted")
+
+    flagged = common.stored(flagged_paragraphs(docs, key, wanted, nodes), "flagged")
+    # one holder of each paragraph to be compared brings its set
+    holder = flagged.where("set is not null").groupBy(F.col("number").alias("node")).agg(
+        F.min(F.struct("key", "place")).alias("holder"))
+    holder = common.stored(holder.join(nodes.withColumnRenamed("number", "node"), "node", "left_semi"), "holders")
+    sets = flagged.join(holder, (F.col("number") == F.col("node")) & (F.struct("key", "place") == F.col("holder")))
+    sets = common.stored(sets.select("node", "set", "image"), "paragraph-sets")
     clusters = components(linked(buckets, sets, percent)).withColumnRenamed("node", "number")
 
     placed = flagged.drop("set", "image").join(common.stored(clusters, "clusters"), "number", "left").withColumn(
