@@ -20,7 +20,7 @@ from trovelight.session import new_folder
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-PART = 1_024  # rows of a batch that are worked on, and held as Python objects, at a time
+PART = 512  # rows of a batch that are worked on, and held as Python objects, at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
