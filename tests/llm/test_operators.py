@@ -131,6 +131,29 @@ def test_all_long_repeats_of_the_table_are_found(spark, documents):
     assert truth and truth <= flagged
 
 
+def test_long_repeats_are_found_whatever_the_spelling(spark):
+    """Shared runs of 51 words whose borders no capital, mark or line shows."""
+    cases, rows = {
+        "lower": lambda w: w, "title": lambda w: [x.title() for x in w], "capitals": lambda w: [x.upper() for x in w],
+        "cyrillic": lambda w: [x.replace("w", "ж") for x in w]}, []
+    for n, write in enumerate(cases.values()):
+        shared = write(words(51, 100 + n, 100_000))
+        for i in range(2):
+            text = write(words(70, 200 + 2 * n + i, 100_000)) + shared + write(words(90, 300 + 2 * n + i, 100_000))
+            rows.append((2 * n + i, " ".join(text)))
+    sentence = words(51, 120, 100_000)
+    rows += [(100 + i, "Here " + " ".join(words(60, 130 + i, 100_000) + sentence + words(60, 140 + i, 100_000)) + ".")
+             for i in range(2)] + [(200, " ".join(words(300, 150, 100_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert {r["doc_id"] for r in found} == {i for i, _ in rows} - {200}
+    text = dict(rows)
+    for r in found:
+        other = r["doc_id"] ^ 1
+        assert text[r["doc_id"]][r["start"]:r["end"]] in text[other] and r["kept"] == (r["doc_id"] < other)
+        assert 25 <= r["passage_words"] <= 51
+
+
 # --- 3: mixing ---------------------------------------------------------------------------
 
 def targets(sizes):

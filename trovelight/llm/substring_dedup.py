@@ -5,6 +5,13 @@ after each sentence mark, so a passage set into the middle of another text yield
 paragraphs wherever it stands. Pieces under ``LEAST_WORDS`` words that follow each other are
 one paragraph; what is still shorter is only filling.
 
+Spelling says nothing of borders in lower case, titles, lists of names or scripts without
+capitals, and a passage may begin inside a sentence. So runs of ``RUN`` words are units besides,
+where content alone puts them: each whose hash is the smallest of ``AROUND`` runs in a row
+(winnowing). Texts that share ``RUN + AROUND - 1`` words in a row choose the same run among
+them; what they share of ``LEAST_PASSAGE + 2 * (AROUND - 1)`` = 51 words or more is always found.
+Runs are compared word for word, may overlap, and are left out where paragraphs say the same.
+
 1. Paragraphs that are equal word for word form a class. Each class has ``BANDS`` MinHashes
    of its five-word shingles, each a band of its own: a pair at similarity 0.8 shares none
    of four with probability 0.2**4 = 0.0016.
@@ -34,16 +41,28 @@ from .minhash_dedup import crowded, linked
 
 SHINGLE, BANDS = 5, 4
 LEAST_WORDS, GAP, LEAST_PASSAGE = 6, 12, 25
+RUN, AROUND = 12, 14
 FILTER_BITS = 1 << 26  # 8 MB
 PAGE_BITS = 1 << 15  # of one row of Spark's bitmap aggregate
 
 _FACTORS = shingles.mixed(np.arange(101, 101 + BANDS, dtype=np.uint64)) | np.uint64(1)
+_RUNS = np.uint64(0x5851F42D4C957F2D)  # keeps numbers of runs and of paragraphs apart
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".!?\"')"]] = True
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 
 
+def _sliding(how, values: np.ndarray, width: int) -> np.ndarray:
+    """``how`` over each ``width`` neighbours, by doubling."""
+    out, done = values, 1
+    while done < width:
+        step = min(done, width - done)
+        out = how(out[:-step], out[step:])
+        done += step
+    return out
+
+
 class Paragraphs:
     """The paragraphs of one text: word ranges, bytes, and numbers that tell them apart."""
 
@@ -92,34 +111,55 @@ class Paragraphs:
         least = [self._reduce(np.minimum, own * f, stops) for f in _FACTORS]
         return shingles.mixed(np.stack(least, axis=1) + _FACTORS)
 
-    def code_points(self) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of each paragraph in code points."""
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words and numbers of the runs that content chooses."""
+        n = len(self.words) - RUN + 1
+        if n < AROUND:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.arange(n)
+        numbers = shingles.mixed(shingles.sequence_numbers(self.words, at, at + RUN) + _RUNS)
+        least = _sliding(np.minimum, numbers, AROUND)
+        edge = np.zeros(AROUND - 1, np.uint64)
+        chosen = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), AROUND) == numbers)
+        return chosen, numbers[chosen]
+
+    def code_points(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of word ranges in code points."""
         count = np.cumsum((self.raw & 0xC0) != 0x80)
-        return count[self.begins[self.first]] - 1, count[self.ends[self.last - 1] - 1]
+        return count[self.begins[first]] - 1, count[self.ends[last - 1] - 1]
 
 
 def paragraph_numbers(docs: DataFrame, key: str) -> DataFrame:
-    """(key, number, bands) of every paragraph of six words or more."""
+    """(key, number, run, bands) of every paragraph of six words or more and every run chosen.
+
+    Bands of runs are 0.
+    """
 
     def start():
         def work(batch):
-            own, number, bands = [], [], []
+            own, number, run, bands = [], [], [], []
             for i, text in enumerate(common.texts(batch)):
                 found = Paragraphs(text)
-                if len(found.first):
-                    own += [i] * len(found.first)
+                runs = np.unique(found.runs()[1])
+                n = len(found.first)
+                if n:
                     number.append(found.numbers())
                     bands.append(found.minima())
-            as_long = lambda x, empty: (np.concatenate(x) if x else empty).view(np.int64)
-            flat = as_long(bands, np.zeros((0, BANDS), np.uint64))
-            return [common.repeated(batch.column(0), own), as_long(number, np.zeros(0, np.uint64)),
+                number.append(runs)
+                bands.append(np.zeros((len(runs), BANDS), np.uint64))
+                own.append(np.full(n + len(runs), i))
+                run += [np.zeros(n, bool), np.ones(len(runs), bool)]
+            joined = lambda x, empty: np.concatenate([empty, *x])
+            flat = joined(bands, np.zeros((0, BANDS), np.uint64)).view(np.int64)
+            return [common.repeated(batch.column(0), joined(own, np.zeros(0, np.int64))),
+                    joined(number, np.zeros(0, np.uint64)).view(np.int64), joined(run, np.zeros(0, bool)),
                     *(np.ascontiguousarray(flat[:, b]) for b in range(BANDS))]
 
         return work
 
     rows = docs.select(F.col(key).alias("key"), F.col("text")).where(F.col("key").isNotNull())
     ddl = ", ".join(f"b{b} bigint" for b in range(BANDS))
-    return common.map_batches(rows, start, f"key {common.kind(docs, key)}, number bigint, {ddl}")
+    return common.map_batches(rows, start, f"key {common.kind(docs, key)}, number bigint, run boolean, {ddl}")
 
 
 def bit_filter(numbers: DataFrame) -> np.ndarray:
@@ -133,38 +173,48 @@ def bit_filter(numbers: DataFrame) -> np.ndarray:
     return bits
 
 
-def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame, compared: DataFrame) -> DataFrame:
-    """(key, number, start, end, place, words, set, image) of the paragraphs the filter passes.
+def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame, compared: DataFrame,
+                       runs: DataFrame) -> DataFrame:
+    """(key, number, start, end, place, words, run, set, image) of what the filters pass.
 
-    Sets and images are null where ``compared``, the numbers to be compared, has no such number.
+    ``wanted`` and ``runs`` have the numbers of paragraphs and of runs. Sets and images are null
+    where ``compared``, the numbers to be compared, has no such number, and for runs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((bit_filter(wanted), bit_filter(compared)))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(map(bit_filter, (wanted, compared, runs))))
 
     def start():
         filters = shared.value
 
+        def passed(numbers: np.ndarray, bits: np.ndarray) -> np.ndarray:
+            at = numbers % FILTER_BITS
+            return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
         def work(batch):
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(9)]
             for i, text in enumerate(common.texts(batch)):
                 found = Paragraphs(text)
-                if not len(found.first):
-                    continue
-                numbers = found.numbers().view(np.int64)
-                at = numbers % FILTER_BITS
-                passes, sets = ((bits[at >> 3] >> (at & 7) & 1).astype(bool) for bits in filters)
-                hit = np.flatnonzero(passes)
-                if not len(hit):
+                run, run_numbers = found.runs()
+                run_numbers = run_numbers.view(np.int64)
+                some = passed(run_numbers, filters[2])
+                run, run_numbers = run[some], run_numbers[some]
+                numbers = found.numbers().view(np.int64) if len(found.first) else run_numbers[:0]
+                hit = np.flatnonzero(passed(numbers, filters[0]))
+                if not len(hit) and not len(run):
                     continue
+                sets = passed(numbers, filters[1])
                 own = found.shingles() if sets.any() else None
-                begin, end = found.code_points()
                 first, last = found.first[hit], found.last[hit]
+                firsts, lasts = np.append(first, run), np.append(last, run + RUN)
                 for column, values in zip(out, (
-                        [i] * len(hit), numbers[hit], begin[hit], end[hit], first, last - first)):
+                        [i] * len(firsts), np.append(numbers[hit], run_numbers), *found.code_points(firsts, lasts),
+                        firsts, lasts - firsts, [False] * len(hit) + [True] * len(run))):
                     column.extend(values)
                 for p, a, b in zip(hit.tolist(), first.tolist(), last.tolist()):
                     unit = np.unique(own[a:b - SHINGLE + 1]) if sets[p] else None
-                    out[6].append(None if unit is None else unit.view(np.int64))
-                    out[7].append(None if unit is None else np.unique(unit.astype(np.uint16)).tobytes())
+                    out[7].append(None if unit is None else unit.view(np.int64))
+                    out[8].append(None if unit is None else np.unique(unit.astype(np.uint16)).tobytes())
+                out[7] += [None] * len(run)
+                out[8] += [None] * len(run)
             return [common.repeated(batch.column(0), out[0]), *out[1:]]
 
         return work
@@ -172,7 +222,7 @@ def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame, compared: D
     rows = docs.select(F.col(key).alias("key"), F.col("text")).where(F.col("key").isNotNull())
     return common.map_batches(
         rows, start, f"key {common.kind(docs, key)}, number bigint, start bigint, end bigint, place bigint, "
-        "words bigint, set array<bigint>, image binary")
+        "words bigint, run boolean, set array<bigint>, image binary")
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", percent: int = 80,
@@ -180,10 +230,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", percent: int = 80,
     """Paragraphs of repeated passages: key, ``start``, ``end``, ``n_words``, ``cluster_id``,
     ``first_doc_id``, ``kept``, ``passage_start``, ``passage_end``, ``passage_words``.
 
-    ``start`` and ``end`` are code points; ``cluster_id`` is the smallest number of a paragraph
+    Runs beyond the paragraphs have such rows, too, which may overlap others. ``start`` and
+    ``end`` are code points; ``cluster_id`` is the smallest number of a paragraph
     of the cluster; ``kept`` marks the copy in the document of the smallest key.
     """
     found = common.stored(paragraph_numbers(docs, key), "paragraphs")
+    runs = found.where("run").groupBy("number").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    runs = common.stored(runs.where("low <> high").select("number"), "repeated-runs")
+    found = found.where("not run")
     repeated = found.groupBy("number").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     repeated = repeated.where("low <> high").select("number")
     banded = found.select(F.col("number").alias("node"), F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band"))
@@ -193,7 +247,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", percent: int = 80,
     nodes = common.stored(buckets.select(F.col("node").alias("number")).distinct(), "compared")
     wanted = common.stored(repeated.unionByName(nodes), "wanted")
 
-    flagged = common.stored(flagged_paragraphs(docs, key, wanted, nodes), "flagged")
+    flagged = common.stored(flagged_paragraphs(docs, key, wanted, nodes, runs), "flagged")
     # one holder of each paragraph to be compared brings its set
     holder = flagged.where("set is not null").groupBy(F.col("number").alias("node")).agg(
         F.min(F.struct("key", "place")).alias("holder"))
@@ -209,8 +263,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", percent: int = 80,
     shared = common.stored(shared.where(F.col("first_doc_id") != F.col("last")).drop("last"), "shared")
     units = placed.join(shared, "cluster_id")
 
-    by_place = Window.partitionBy("key").orderBy("place", "start", "number")
+    by_place = Window.partitionBy("key").orderBy("place", "run", "start", "number")
     before = by_place.rowsBetween(Window.unboundedPreceding, -1)
+    # runs inside a stretch of paragraphs without a gap say nothing new
+    own_end = F.when(~F.col("run"), F.col("place") + F.col("words"))
+    opens = ~F.col("run") & (F.col("place") > F.coalesce(F.max(own_end).over(before), F.lit(-1)))
+    units = units.withColumn("opens", opens.cast("int")).withColumn("stretch", F.sum("opens").over(by_place))
+    stretch_end = F.max(own_end).over(Window.partitionBy("key", "stretch"))
+    units = units.withColumn("inside", F.col("run") & (
+        F.col("place") + F.col("words") <= F.coalesce(stretch_end, F.lit(-1)))).where("not inside")
     gap = F.col("place") - F.max(F.col("place") + F.col("words")).over(before)
     units = units.withColumn("opens", F.coalesce((gap > GAP).cast("int"), F.lit(1)))
     units = units.withColumn("passage", F.sum("opens").over(by_place))
