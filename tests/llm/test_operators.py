@@ -473,6 +473,22 @@ def test_disguised_words_are_restored(abuse):
     assert restorer.text("a river i d i o t")[-1] == "idiot"
 
 
+def test_long_and_joined_disguises_are_restored(abuse):
+    docs, _ = abuse
+    restorer = toxicity.Restorer(toxicity.language_model(docs))
+    for seen in ("st" + 25 * "u" + "pid", "-".join("stupid" * 1) + 20 * ".", "s" + "----".join("tupid")):
+        assert "stupid" in restorer.token(seen), seen
+    assert {"yellow", "idiot"} <= set(restorer.token("yellow-idiot"))
+    assert {"river", "idiot"} <= set(restorer.text("r i v e r i d i o t"))
+    assert "mor" in restorer.text("m o r")
+    address = "https://river.example/stone/garden/idiot"
+    assert {"river", "stone", "garden", "idiot"} <= set(restorer.token(address))
+    for seen in ("river!", "river*", "river!!"):
+        assert "river" in restorer.token(seen)
+    glass = docs.sparkSession.createDataFrame([("grass glass pass",)] * 30, "text string")
+    assert "pass" in toxicity.Restorer(toxicity.language_model(glass)).token("pa$$")
+
+
 def test_viterbi_equals_enumeration(abuse):
     logs = toxicity.language_model(abuse[0])
     rng = np.random.default_rng(10)

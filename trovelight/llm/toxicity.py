@@ -3,8 +3,10 @@
 1. A character language model (letter trigrams within words) is counted over all texts.
 2. A token that may hide a word (leetspeak, separators between letters, letters repeated more
    than twice, or a run of single characters) becomes a lattice: what each character may stand
-   for, or that it is only a separator or a repetition, at the channel's cost. Viterbi
-   decoding under the language model restores the likeliest letters.
+   for, or that it is only a separator or a repetition, at the channel's cost; a word may end
+   at a separator, or anywhere in a run. Viterbi decoding under the language model restores
+   the likeliest words. Signs at a token's end may be letters, too. Tokens over
+   ``LONGEST_PLAIN`` characters and plain words before signs keep their raw words besides.
 3. The restored text is scored: how often words begin with the markers learned from labelled
    texts, relative to its length, through a logistic regression.
 
@@ -49,13 +51,13 @@ LEET = {
 }
 SEPARATORS = frozenset(".-_ *~'’/\\,:;·•")
 #: Channel costs, as negative log-probabilities.
-AS_LEET, AS_SEPARATOR, AS_REPEAT, KEPT_REPEAT, AS_NOISE = 1.0, 0.3, 0.7, 1.5, 9.0
-LONGEST_HIDDEN = 24  # longer tokens are numbers, addresses and keys rather than words
-RUN = 4  # single characters in a row that may spell a word
+AS_LEET, AS_SEPARATOR, AS_REPEAT, KEPT_REPEAT, AS_NOISE, AS_BREAK = 1.0, 0.3, 0.7, 1.5, 9.0, 1.0
+LONGEST_PLAIN = 24  # longer tokens may as well be numbers, addresses and keys: their raw words count, too
+RUN = 3  # single characters in a row that may spell a word
 
 _EDGES = ".,!?;:%&#\"'()[]{}<>*|$~-_`…«»“”"
 _INNER = re.compile(r"[^\W\d_].*[\d@$!|+(€£*.\-_~'’/\\,:;·•].*[^\W\d_]|[\d@$!|+(€£*].*[^\W\d_].*[^\W\d_]"
-                    r"|[^\W\d_].*[^\W\d_].*[\d@$!|+(€£]|([^\W\d_])\1\1", re.S)
+                    r"|[^\W\d_].*[^\W\d_].*[\d@$!|+(€£]|[^\W\d_].*[@$!|+(€£]{2}|([^\W\d_])\1\1", re.S)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -111,25 +113,44 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 def hides_word(token: str) -> bool:
     """Whether a lower-cased token, stripped at its edges, may be a disguised word."""
-    return len(token) <= LONGEST_HIDDEN and bool(_INNER.search(token))
+    return bool(_INNER.search(token))
 
 
-def restore(token: str, logs: np.ndarray) -> str:
-    """The likeliest word behind a token: Viterbi over its lattice. States are the last two codes."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    before = ""
-    for char in token:
+def spelled(letters: tuple | None) -> str:
+    """The letters of a path, which is linked from its end."""
+    found = []
+    while letters is not None:
+        letters, letter = letters
+        found.append(letter)
+    return "".join(reversed(found))
+
+
+def restore(token: str, logs: np.ndarray, breaks: str = "", signs: int = 0) -> str:
+    """The likeliest word behind a token: Viterbi over its lattice. States are the last two codes.
+
+    Where ``breaks`` is "separators" a word may end at a separator, where it is "anywhere" before
+    any character; words are then joined by blanks. The last ``signs`` characters may be mere
+    punctuation, other than those that stand for money.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    before, body = "", len(token) - signs
+    for place, char in enumerate(token):
+        if breaks and place and (breaks == "anywhere" or char in SEPARATORS):
+            ended = min(((cost + AS_BREAK - logs[a, b, 0], word) for (a, b), (cost, word) in states.items() if b),
+                        key=lambda x: x[0], default=None)
+            if ended and states.get((0, 0), (math.inf,))[0] > ended[0]:
+                states[0, 0] = (ended[0], (ended[1], " "))
         options = [(o, AS_LEET) for o in LEET.get(char, "")]
         drop = None
         if char in CODES:
             again = char == before
             options.append((char, KEPT_REPEAT if again else 0.0))
             drop = AS_REPEAT if again else None
-        elif char in SEPARATORS:
+        elif char in SEPARATORS or (place >= body and char not in "$€£@"):
             drop = AS_SEPARATOR
         else:
             drop = AS_NOISE
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
+        reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, word) in states.items():
             if drop is not None and (old := reached.get((a, b), (math.inf,)))[0] > cost + drop:
                 reached[a, b] = (cost + drop, word)
@@ -137,9 +158,11 @@ def restore(token: str, logs: np.ndarray) -> str:
                 c = CODES[letter]
                 value = cost + price - logs[a, b, c]
                 if reached.get((b, c), (math.inf,))[0] > value:
-                    reached[b, c] = (value, word + letter)
+                    reached[b, c] = (value, (word, letter))
         states, before = reached, char
-    return min(((cost - logs[a, b, 0], word) for (a, b), (cost, word) in states.items()), default=(0, ""))[1]
+    best = min(((cost - logs[a, b, 0], word) for (a, b), (cost, word) in states.items()),
+               key=lambda x: x[0], default=(0, None))
+    return spelled(best[1])
 
 
 class Restorer:
@@ -155,10 +178,17 @@ class Restorer:
             lead = token[:len(token) - len(token.lstrip(_EDGES))]
             if core and lead[-1:] in LEET and lead[-2:-1] != lead[-1:]:
                 core = lead[-1:] + core  # one leading sign may be a letter in disguise
-            if core and hides_word(core):
-                words = (restore(core, self.logs),)
-            else:
-                words = tuple(_WORDS.findall(token))
+            # signs at the end may be letters; the word before them is kept if it says something plain
+            rest = token[len(token.rstrip(_EDGES)):]
+            tail = rest[:next((i for i, c in enumerate(rest) if c not in LEET), len(rest))]
+            plain = () if core and hides_word(core) else tuple(_WORDS.findall(token))
+            whole = core + tail if core else core
+            words = plain
+            if whole and hides_word(whole):
+                found = restore(whole, self.logs, "separators", len(tail)).split()
+                if len(token) > LONGEST_PLAIN:
+                    plain = tuple(_WORDS.findall(token))
+                words = (*found, *(w for w in dict.fromkeys(plain) if w not in found))
             if len(self.known) > CACHE:
                 self.known.clear()
             self.known[token] = words
@@ -172,7 +202,9 @@ class Restorer:
                 run.append(token)
                 continue
             if len(run) >= RUN:
-                found.append(restore("".join(run), self.logs))
+                one = restore("".join(run), self.logs)
+                several = restore("".join(run), self.logs, "anywhere").split()
+                found += [w for w in several if w != one] + [one]
             run = []
         return found
 
