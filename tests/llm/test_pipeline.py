@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trovelight.llm import common, components, mixing
+from trovelight.llm import common, components, minhash_dedup, mixing
 from trovelight.llm.queries import QUERIES
 
 ROOT = pathlib.Path(__file__).resolve().parents[2]
@@ -51,6 +51,33 @@ def test_mixed_documents_follow_the_mix(spark):
     assert most <= 3 * 2
 
 
+def test_dedup_decides_per_row(spark):
+    text = lambda seed: " ".join(f"w{i}" for i in np.random.default_rng(seed).integers(0, 9000, 60))
+    rows = [(1, text(1)), (1, text(1)), (1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(3).upper()),
+            (None, text(1)), (None, text(1)), (4, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, None, f"s{n % 2}", 1) for n, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], (r["text"] or "").lower()) for r in minhash_dedup.keep_first(docs).collect()]
+    want = [(1, text(1)), (2, text(2)), (3, text(3)), (None, text(1)), (None, text(1)), (4, ""), (4, ""), (4, "")]
+    assert sorted(left, key=str) == sorted(want, key=str)
+    once = docs.where("doc_id = 1")
+    assert minhash_dedup.keep_first(once).count() == 1
+
+
+def test_no_task_gathers_the_rows_of_one_document(spark):
+    rows = [(7, "w w w", None, "a", 1)] * 3000 + [(i, f"w{i} w", None, "ab"[i % 2], 1) for i in range(100, 3100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mixed_documents(docs)
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "row_number" not in plan
+    whole = F.filter("taking", lambda x: x["words"] * 2 >= F.col("size"))
+    keyed = docs.withColumn("__row", F.struct("doc_id", F.xxhash64(*docs.columns).alias("hash")))
+    want = {r["doc_id"]: r["n"] for r in mixing.mix(keyed, key="__row").groupBy("__row.doc_id").agg(
+        F.sum(F.size(whole)).alias("n")).collect() if r["n"]}
+    got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert got == want and want[7] > 0
+
+
 def test_components_equal_a_local_search(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)]

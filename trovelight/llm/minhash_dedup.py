@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common, shingles
 from .components import components
+from .mixing import ranked
 
 ROWS, BANDS = 4, 24
 BLOCK = 2_048
@@ -187,8 +188,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: i
         F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__hash`` of the text; of rows alike in key and text the smallest stays.
+
+    Rows without a key or a word all stay.
+    """
+    told = docs.withColumn("__hash", F.xxhash64("text"))
+    same = told.where(F.col("doc_id").isNotNull() & F.col("text").rlike(common.WORD)).groupBy("doc_id", "__hash").count()
+    same = common.stored(same.where("count > 1").drop("count"), "same-rows")
+    if same.isEmpty():
+        return told
+    # aggregated before the shuffle, so a task sends one row of each such document at most
+    least = F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__one")
+    one = told.join(same, ["doc_id", "__hash"], "left_semi").groupBy("doc_id", "__hash").agg(least)
+    rest = told.join(same, ["doc_id", "__hash"], "left_anti").select(*told.columns)
+    return common.stored(rest.unionByName(one.select("__one.*", "__hash")), "single-rows")
+
+
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, that of the smallest key."""
-    gone = common.stored(near_duplicates(docs, k=k, percent=percent).where("not kept").select(
-        "doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of near duplicates, that of the smallest key.
+
+    Texts that share a key are decided each by itself, whichever others of the key are copies.
+    """
+    told = one_of_each(docs)
+    several = told.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min("__hash").alias("low"), F.max("__hash").alias("high"))
+    several = common.stored(several.where("low <> high").select("doc_id"), "keys-of-several")
+    if several.isEmpty():
+        gone = common.stored(near_duplicates(told, k=k, percent=percent).where("not kept").select(
+            "doc_id").distinct(), "duplicates")
+        return told.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    names = told.select("doc_id", "__hash").where(F.col("doc_id").isNotNull()).distinct()
+    names = common.stored(ranked(names, F.col("doc_id"), F.col("__hash"), name="__name"), "names")
+    named = told.join(names, ["doc_id", "__hash"], "left").select(*told.columns, "__name")
+    named = common.stored(named, "named")
+    gone = common.stored(near_duplicates(named, "__name", k, percent).where("not kept").select(
+        "__name").distinct(), "duplicates")
+    return named.join(gone, "__name", "left_anti").select(*docs.columns)

@@ -8,8 +8,9 @@ document starts in its source has one time at which it is due. Documents are put
 that time, each as often as the mix passes over it.
 
 Within a source documents stand in the order of a hash of their key. Running totals are taken
-within (source, hash range) and moved by the totals of the ranges before, so no source, however
-large, is handled by one task. All sums are of integers: reruns agree.
+within ranges of that order and moved by the totals of the ranges before, so no source, however
+large, is handled by one task. Rows of one key and size are told apart by a number of their own,
+so ranges part them, too; they are interchangeable, and all sums are of integers: reruns agree.
 
 Null text counts as empty; null sources form one source, last in order. Documents without
 words take no part (``taken`` 0). The last pass of a source may end inside a document, which
@@ -23,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import common
 
 PASSES = 3
-RANGE_ROWS = 4_096  # documents of a hash range, about
 SEED = 2026
 
 
@@ -108,11 +108,9 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, key: str = "doc_id"
     """
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     sized = common.stored(docs.select(F.col(key).alias("key"), "source", size.alias("size")), "mix-sizes")
-    total = sized.count()
-    bits = max(0, (total // RANGE_ROWS).bit_length())
-    order = F.xxhash64(F.lit(SEED), "key")
-    part = F.shiftrightunsigned("order", 64 - bits) if bits else F.lit(0).cast("long")
-    sized = sized.withColumn("order", order).withColumn("part", part)
+    sized = sized.withColumn("order", F.xxhash64(F.lit(SEED), "key")).withColumn("copy", F.monotonically_increasing_id())
+    sized = common.stored(sized.repartitionByRange("source", "order", "key", "size", "copy").withColumn(
+        "part", F.spark_partition_id()), "mix-parts")
 
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plans = integrated(steady(sizes) if schedules is None else schedules)
@@ -128,7 +126,7 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, key: str = "doc_id"
     ranges = common.stored(ranges, "mix-ranges")
 
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in"))
-    within = Window.partitionBy("source", "part").orderBy("order", "key", "size").rowsBetween(
+    within = Window.partitionBy("source", "part").orderBy("order", "key", "size", "copy").rowsBetween(
         Window.unboundedPreceding, -1)
     placed = sized.join(ranges, same).withColumn(
         "start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -155,15 +153,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Only whole texts are handed on: a pass that takes at least half of a document takes all of
     it, any other leaves it out, so a source is within one document of its target. A document
-    is told by its key and a hash of its row; of rows alike in all columns one carries the
-    passes of all.
+    is told by its key and a hash of its row. Of rows alike in all columns one is joined to the
+    positions of all, which stay rows: no task gathers those of one document.
     """
     row = F.struct("doc_id", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("hash"))
     keyed = docs.withColumn("__row", row)
     whole = F.filter("taking", lambda x: x["words"] * 2 >= F.col("size"))
     passes = mix(keyed, key="__row").select("__row", F.explode(F.transform(whole, lambda x: x["position"])).alias("__at"))
-    passes = passes.groupBy("__row").agg(F.array_sort(F.collect_list("__at")).alias("__at"))
-    first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    due_rows = keyed.join(common.stored(passes, "mix-order"), "__row").withColumn("__n", first).where("__n = 1")
-    ordered = due_rows.withColumn("__at", F.explode("__at"))
+    passes = common.stored(passes, "mix-order")
+    alike = common.stored(keyed.groupBy("__row").count().where("count > 1").select("__row"), "mix-alike")
+    # aggregated before the shuffle, so a task sends one row of each such document at most
+    one = keyed.join(alike, "__row", "left_semi").groupBy("__row").agg(
+        F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__one"))
+    ordered = keyed.join(alike, "__row", "left_anti").unionByName(one.select("__row", "__one.*")).join(passes, "__row")
     return ordered.orderBy("__at", "doc_id", "__row").select(*docs.columns)
