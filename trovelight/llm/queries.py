@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    common, embedding_dedup, language_id, minhash_dedup, mixing, packing, secret_scan, token_count, topk_search,
+    common, embedding_dedup, language_id, merkle, minhash_dedup, mixing, packing, secret_scan, token_count, topk_search,
     substring_dedup, toxicity,
 )
 
@@ -71,3 +71,10 @@ def op10_toxicity(spark, sf):
 @query
 def op2_substring_dedup(spark, sf):
     return substring_dedup.repeated_passages(common.table(spark, sf, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    tampered = F.when(common.remainder("doc_id", 2) == 0, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(docs, tampered)
