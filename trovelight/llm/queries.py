@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    common, embedding_dedup, language_id, merkle, minhash_dedup, mixing, packing, secret_scan, token_count, topk_search,
+    common, embedding_dedup, language_id, merkle, minhash_dedup, mixing, packing, secret_scan, spelling, token_count,
+    topk_search,
     substring_dedup, toxicity,
 )
 
@@ -78,3 +79,8 @@ def op11_merkle_manifest(spark, sf):
     docs = common.table(spark, sf, "documents")
     tampered = F.when(common.remainder("doc_id", 2) == 0, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
     return merkle.manifest(docs, tampered)
+
+
+@query
+def op12_spelling_variants(spark, sf):
+    return spelling.variants(spelling.word_counts(common.table(spark, sf, "documents")), ratio=10, min_length=7)
