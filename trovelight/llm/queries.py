@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    common, embedding_dedup, language_id, merkle, minhash_dedup, mixing, packing, secret_scan, spelling, token_count,
+    common, embedding_dedup, language_id, license_scan, merkle, minhash_dedup, mixing, packing, secret_scan, spelling, token_count,
     topk_search,
     substring_dedup, toxicity,
 )
@@ -84,3 +84,8 @@ def op11_merkle_manifest(spark, sf):
 @query
 def op12_spelling_variants(spark, sf):
     return spelling.variants(spelling.word_counts(common.table(spark, sf, "documents")), ratio=10, min_length=7)
+
+
+@query
+def op13_license_scan(spark, sf):
+    return license_scan.scan_licenses(common.table(spark, sf, "documents"))
