@@ -75,6 +75,19 @@ SELECT query_id, string_agg(chunk_id, '|' ORDER BY rank) AS chunk_ids FROM hits
 _TOKENS = "regexp_split_to_array(lower({}), '[^a-z0-9]+')"
 ORACLES["hits_in_repo"] = f"""{_BASE}, in_repo AS (SELECT * FROM vec_fx WHERE list_contains({_TOKENS.format('path')}, 'src7')),
 {_hits(points="in_repo")} {_SCORES}"""
+def _all_tokens(field: str, asked: str) -> str:
+    import re
+
+    wanted = sorted({t for t in re.split("[^a-z0-9]+", asked.lower()) if t})
+    return f"list_has_all({_TOKENS.format(field)}, [{_list(wanted)}]::VARCHAR[])" if wanted else "true"
+
+
+def _indexed(questions) -> str:
+    parts = [f"SELECT {_text(f)} AS field, {_text(a)} AS asked, chunk_id FROM vec_fx WHERE {f} IS NOT NULL AND {_all_tokens(f, a)}"
+             for f, a in questions]
+    return f"{ctes('vec_fx')} " + " UNION ALL ".join(parts)
+
+
 ORACLES["token_search"] = f"""{ctes("vec_fx")} SELECT chunk_id, list_contains({_TOKENS.format('path')}, 'src7') AS in_src7,
   list_contains({_TOKENS.format('repo')}, 'src') AS partial_token FROM vec_fx"""
 
@@ -268,3 +281,7 @@ SELECT 'md5-hashing-64' AS encoder, query_id, place, value FROM encoded"""
 ORACLES["vector_payload_join"] = f"""{ctes("vec_fx", "vectors_fx")} SELECT p.chunk_id, p.language,
   round(sqrt(list_dot_product(CAST(v.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[]))), 6) AS norm
 FROM vec_fx p JOIN vectors_fx v USING (chunk_id)"""
+
+from .queries import INDEX_QUESTIONS  # noqa: E402
+
+ORACLES["indexed_tokens"] = _indexed(INDEX_QUESTIONS)

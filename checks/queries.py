@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trovelight.functions import vectors
 from trovelight.functions.paths import flattened_name, has_tokens
+from trovelight.operators import token_index
 from trovelight.operators import (
     chunking, embedding, interactions, inventory, packing, search, selection, upsert,
 )
@@ -130,6 +131,23 @@ def token_search(spark, sf):
         has_tokens(F.col("repo"), "src").alias("partial_token"))
 
 
+#: Questions asked of the token index: (field, text). Lists of the whole table are built.
+INDEX_QUESTIONS = (("path", "SRC7"), ("repo", "src"), ("repo", "SRC1"), ("path", "src3__30"), ("path", "30 src3"), ("path", ""))
+
+
+@query
+def indexed_tokens(spark, sf):
+    """Points whose field holds every token asked, answered from inverted lists only."""
+    points = view(spark, sf, "vec_fx")
+    index = token_index.open_index(spark, token_index.build_token_index(points, ("repo", "path")))
+    found = None
+    for field, asked in INDEX_QUESTIONS:
+        part = token_index.lookup(index, field, asked).select(
+            F.lit(field).alias("field"), F.lit(asked).alias("asked"), F.col("point_id").alias("chunk_id"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 # --- chunking --------------------------------------------------------------------------
 
 def _chunk_rows(chunks):
