@@ -77,6 +77,11 @@ SELECT min(vec_id) AS query_id, concat('Create task {{', CAST(min(vec_id) AS STR
 FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id GROUP BY label, source
 """
 
+# Every vector whose id is divisible by 100 asks, in the language of its label.
+VIEWS["vec_queries_fx"] = f"""
+SELECT vec_id AS query_id, {_LABEL_LANGUAGE} AS language, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0
+"""
+
 # Every vector beside the query vector of its own group.
 VIEWS["pairs_fx"] = """
 WITH p AS (SELECT vec_id, embedding, label, coalesce(source, 'none') AS source FROM embeddings LEFT JOIN documents ON doc_id = vec_id),

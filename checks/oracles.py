@@ -58,6 +58,7 @@ FROM packed JOIN queries_fx USING (query_id)"""
 
 for _key in ("vector_topk", "vector_topk_blocks", "vector_table_search"):
     ORACLES[_key] = f"{_BASE}, {_hits()} {_SCORES}"
+ORACLES["bounded_topk"] = f"{ctes('vec_fx', 'vec_queries_fx')}, {_hits(queries='vec_queries_fx')} {_SCORES}"
 ORACLES["vector_topk_unfiltered"] = f"{_BASE}, {_hits(on='true')} {_SCORES}"
 ORACLES["vector_topk_l2"] = ORACLES["flat_l2_index"] = _L2_HITS
 

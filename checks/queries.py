@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trovelight.functions import vectors
 from trovelight.functions.paths import flattened_name, has_tokens
-from trovelight.operators import token_index
+from trovelight.operators import bounded_search, token_index
 from trovelight.operators import (
     chunking, embedding, interactions, inventory, packing, search, selection, upsert,
 )
@@ -90,6 +90,14 @@ def vector_topk_l2(spark, sf):
     return _scores(search.best_hits(view(spark, sf, "queries_fx"), view(spark, sf, "vec_fx"), metric="l2"))
 
 
+@query
+def bounded_topk(spark, sf):
+    """vector_topk's contract, every vector with an id divisible by 100 asking; cells skipped by bounds."""
+    store = bounded_search.write_cells(view(spark, sf, "vec_fx"))
+    hits, _ = bounded_search.bounded_top_k(view(spark, sf, "vec_queries_fx"), store, k=5, threshold=THRESHOLD)
+    return _scores(hits)
+
+
 @query
 def vector_scores(spark, sf):
     a, b = F.col("vector"), F.col("lead_vector")
