@@ -248,6 +248,7 @@ _LANGUAGE = "CASE " + " ".join(
 ORACLES["validate_prompts"] = f"""{ctes("prompts_fx")}
 SELECT query_id, reason = 'ok' AS is_valid, reason, {_MESSAGE} AS message FROM (SELECT *, {_VERDICT} AS reason FROM prompts_fx)"""
 ORACLES["infer_language"] = f"""{ctes("prompts_fx")} SELECT query_id, {_LANGUAGE} AS language FROM prompts_fx WHERE {_VERDICT} = 'ok'"""
+ORACLES["sql_infer_language"] = f"""{ctes("prompts_fx")} SELECT query_id, {_LANGUAGE} AS language FROM prompts_fx"""
 
 _BREAKS = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
 _CLEAN = f"""cleaned AS (SELECT query_id, CASE WHEN NOT starts_with(t, '```') THEN t
@@ -286,3 +287,8 @@ FROM vec_fx p JOIN vectors_fx v USING (chunk_id)"""
 from .queries import INDEX_QUESTIONS  # noqa: E402
 
 ORACLES["indexed_tokens"] = _indexed(INDEX_QUESTIONS)
+
+ORACLES["sql_parse_repo_url"] = ORACLES["parse_repo_url"]
+ORACLES["sql_chunk_id"] = f"""{ctes("vec_fx")} SELECT chunk_id AS point, concat_ws({_text(fixed.ID_SEPARATOR)}, language, repo, function_name,
+  substr(md5(concat_ws({_text(fixed.ID_HASH_SEPARATOR)}, language, repo, path, function_name, substr(code, 1, {fixed.ID_CODE_CHARS}))), 1, {fixed.ID_HASH_CHARS})) AS id
+FROM vec_fx"""

@@ -7,6 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trovelight.functions import vectors
+from trovelight.functions.sql_functions import register_sql_functions
 from trovelight.functions.paths import flattened_name, has_tokens
 from trovelight.operators import bounded_search, token_index
 from trovelight.operators import (
@@ -525,3 +526,30 @@ def prompt_answers(spark, sf):
     points = embedding.embed_chunks(chunking.latest_chunks(chunking.chunk_files(_raw_files(spark, sf))), encoder)
     return answer_prompts(view(spark, sf, "prompts_fx"), points, encoder, threshold=THRESHOLD).select(
         "query_id", "language", "prompt", _ids())
+
+
+# --- SQL functions ---------------------------------------------------------------------
+
+def _sql(spark, sf, text: str, *views: str) -> DataFrame:
+    """``text`` in plain SQL over the named fixture views, with the library's SQL functions."""
+    register_sql_functions(spark)
+    for name in views:
+        view(spark, sf, name).createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+@query
+def sql_parse_repo_url(spark, sf):
+    return _sql(spark, sf, """SELECT page_id, url, p.owner AS owner, p.name AS name, p.is_valid AS is_valid
+        FROM (SELECT page_id, url, tl_parse_repo_url(url) AS p FROM urls_fx)""", "urls_fx")
+
+
+@query
+def sql_infer_language(spark, sf):
+    return _sql(spark, sf, "SELECT query_id, tl_infer_language(query) AS language FROM prompts_fx", "prompts_fx")
+
+
+@query
+def sql_chunk_id(spark, sf):
+    return _sql(spark, sf, """SELECT chunk_id AS point, tl_chunk_id(language, repo, path, function_name, code) AS id
+        FROM vec_fx""", "vec_fx")
