@@ -47,7 +47,7 @@ def test_imports_without_the_optional_part(tmp_path):
     from pathlib import Path
 
     root = Path(contract.__file__).resolve().parent
-    gone = shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py")
+    gone = shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_*.py")
     shutil.copytree(root, tmp_path / "repo", ignore=gone)
     assert not (tmp_path / "repo" / "trovelight" / "llm").exists()
     probe = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'context_pack' in q; print(len(q))"
