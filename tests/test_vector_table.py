@@ -166,3 +166,13 @@ def test_load_counts(spark):
     new = points(spark, ("a", "go", "p1", "1"), ("a", "go", "p2", "2"), ("b", "c", "p1", "b"))
     got = {r["metric"]: r["rows"] for r in upsert.load_counts(new, new.limit(2)).collect()}
     assert got == {"offered": 3, "loaded": 2, "points": 2}
+
+
+def test_last_by_key_reads_its_rows_once(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 3, "y"), ("a", 3, "y"), (None, 1, "n1"), (None, 2, "n2"), ("b", 5, None), ("c", 1, "z")],
+        "k string, o int, v string")
+    last = upsert.last_by_key(rows, "k", F.col("o"))
+    assert sorted(map(tuple, last.collect()), key=str) == sorted([("a", 3, "y"), (None, 2, "n2"), ("b", 5, None), ("c", 1, "z")], key=str)
+    plan = last._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1 and "Join" not in plan

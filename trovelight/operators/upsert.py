@@ -8,18 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 def last_by_key(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """The row with the greatest ``order`` per key; equal orders rank by a hash of the row.
 
-    Keys and orders alone are aggregated, with every map task reducing its copies of a key
-    first. Whole rows are compared with the winners of the keys that occur more than once;
-    all others pass. ``rows`` is read twice; store it first if it is costly to compute.
+    One aggregate over one scan of ``rows``: ``max_by`` keeps, per key, the row of the
+    greatest (order, hash). Its partial step runs in every map task, so the copies of a key,
+    a hot one included, are one row per task before the shuffle, and ``rows`` is computed
+    once. A null key is one key, like any other.
     """
     others = [F.col(c) for c in rows.columns if c != key]
-    ranked = rows.withColumn("_rank", F.struct(order.alias("order"), F.xxhash64(*others).alias("hash")))
-    winners = ranked.groupBy(F.col(key).alias("_key")).agg(
-        F.max("_rank").alias("_top"), F.count("*").alias("_n")).where("_n > 1")
-    joined = ranked.join(winners, F.col(key).eqNullSafe(F.col("_key")), "left")
-    single = joined.where(F.col("_top").isNull()).select(*rows.columns)
-    first = joined.where(F.col("_rank") == F.col("_top")).dropDuplicates([key])
-    return single.unionByName(first.select(*rows.columns))
+    rank = F.struct(order.alias("order"), F.xxhash64(*others).alias("hash"))
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    best = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, rank).alias("_row"))
+    return best.select(*[F.col("_row")[c].alias(c) for c in rows.columns])
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
