@@ -17,7 +17,7 @@ from trovelight.plans.answer_prompts import answer_prompts, pack_answers
 from trovelight.plans.build_corpus import build_corpus, select_raw_files
 from trovelight.plans import inventory_repos
 from trovelight.plans.inventory_repos import inventory_roots
-from trovelight.session import cut_lineage, new_folder
+from trovelight.session import cut_lineage, new_folder, stored
 from trovelight.settings import Settings
 from trovelight.sources import chunks as chunk_io
 from trovelight.sources.files import scan_raw_files, write_files
@@ -506,11 +506,17 @@ def stream_after_batch(spark, sf):
     return table.read().select("chunk_id", "path")
 
 
+def _points(spark: SparkSession, sf: str, encoder) -> DataFrame:
+    """The embedded corpus, stored: a search reads it for scores and again for the payload."""
+    chunks = chunking.latest_chunks(chunking.chunk_files(_raw_files(spark, sf)))
+    return stored(embedding.embed_chunks(chunks, encoder), "points")
+
+
 @query
 def stream_prompts(spark, sf):
     """All prompts as a stream against the embedded corpus."""
     encoder = embedding.HashingEncoder(64)
-    points = embedding.embed_chunks(chunking.latest_chunks(chunking.chunk_files(_raw_files(spark, sf))), encoder)
+    points = _points(spark, sf, encoder)
     source, out = new_folder(spark, "prompts"), new_folder(spark, "answers")
     view(spark, sf, "prompts_fx").write.parquet(source)
     incoming = spark.readStream.schema("query_id long, query string").parquet(source)
@@ -523,7 +529,7 @@ def stream_prompts(spark, sf):
 def prompt_answers(spark, sf):
     """The same answers from the batch plan."""
     encoder = embedding.HashingEncoder(64)
-    points = embedding.embed_chunks(chunking.latest_chunks(chunking.chunk_files(_raw_files(spark, sf))), encoder)
+    points = _points(spark, sf, encoder)
     return answer_prompts(view(spark, sf, "prompts_fx"), points, encoder, threshold=THRESHOLD).select(
         "query_id", "language", "prompt", _ids())
 

@@ -1,6 +1,7 @@
 """Top-k search against brute force, in both layouts."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -168,3 +169,34 @@ def test_k_and_metric_are_checked(spark):
     with pytest.raises(ValueError):
         search.best_hits(q, p, metric="dot")
     assert search.best_hits(q, p).filter(F.col("rank") < 1).count() == 0
+
+
+def test_points_of_several_blocks_are_made_once(spark):
+    made = F.udf(lambda v: v, "array<double>").asNondeterministic()
+    queries = spark.createDataFrame([(i, None, [1.0, float(i)]) for i in range(40)], "query_id int, language string, vector array<double>")
+    points = spark.createDataFrame([(f"p{i}", "go", [float(i), 1.0]) for i in range(9)], "chunk_id string, language string, vector array<double>")
+    points = points.withColumn("vector", made("vector"))
+    hits = search.best_hits(queries, points, 3, 0.0, block_bytes=4_000)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") > 1 and "EvalPython" not in plan
+    one = search.best_hits(queries, points, 3, 0.0)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_cosines_closer_than_single_precision_rank_exactly():
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    points = base + rng.normal(size=(5_000, 64)) * 1e-6  # cosines differ in the twelfth place
+    queries = base + rng.normal(size=(700, 64)) * 1e-6
+    unit = lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    ids = pa.array([f"{i:05d}" for i in range(len(points))])
+    asked = search.QueryMatrix(pa.array(range(len(queries))), np.array([""] * len(queries), object), queries)
+    best = search._TopK(asked, 5, None, "cosine")
+    for begin in range(0, len(points), 2_500):
+        best.add(ids[begin:begin + 2_500], np.array(["go"] * 2_500, object), points[begin:begin + 2_500])
+    got = best.result(["q", "p", "s"]).to_pandas().sort_values(["q", "s", "p"], ascending=[True, False, True])
+    q, p = unit(queries), unit(points)
+    for i in range(0, len(queries), 50):
+        scores = (p * q[i]).sum(axis=1)
+        expected = np.lexsort((np.arange(len(p)), -scores))[:5]
+        assert got[got["q"] == i]["p"].tolist() == [f"{x:05d}" for x in expected]

@@ -7,7 +7,12 @@ Arrow batches, and a task keeps only its best k per query. What is shuffled is
 
 Query vectors are sent to the tasks in blocks of at most ``block_bytes``, cut by a hash of
 the id; points are read once per block and never moved, so neither the driver nor any task
-ever holds more than one block of queries. The block size changes no result.
+ever holds more than one block of queries. The block size changes no result. With several
+blocks the points' ids, languages and vectors are stored first, so that what the points are
+made by runs once and not once per block.
+
+Cosines are bounded in single precision, tile by tile, and only pairs that may be among the
+best are scored in double precision.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..fixed_values import EXTENSION_LANGUAGE
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from ..settings import DEFAULTS
 
 _QUERY_SLICE = 512   # queries scored at a time, bounds the score matrix of a batch
+_POINT_SLICE = 2_048  # points whose cosines are bounded at a time
 _PAIR_SLICE = 65_536  # candidate pairs re-scored at a time
 
 
@@ -76,6 +82,7 @@ class _Slice:
 
     def __init__(self, wanted: np.ndarray, targets: np.ndarray, floor: float):
         self.wanted, self.targets = wanted, targets
+        self.near = targets.astype(np.float32)
         self.squares = (targets * targets).sum(axis=1)
         self.floor = np.full(len(wanted), floor)
         self.owner, self.score = np.empty(0, np.int64), np.empty(0)
@@ -124,23 +131,48 @@ class _TopK:
         finite = np.isfinite(vectors).all(axis=1)
         with np.errstate(all="ignore"):  # huge components overflow to infinite bounds, which only cost time
             x = _unit_rows(vectors) if self.metric == "cosine" else vectors
-            rows_of: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            rows_of: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
             for language, part in self.slices:
                 if language not in rows_of:
                     rows = np.flatnonzero(finite if language == "" else finite & (languages == language))
-                    rows_of[language] = rows, x[rows]
-                rows, block = rows_of[language]
+                    rows_of[language] = rows, x[rows], x[rows].astype(np.float32)
+                rows, block, near = rows_of[language]
                 if len(rows):
-                    self._add_slice(ids, block, rows, part)
-
-    def _add_slice(self, ids: pa.Array, block: np.ndarray, rows: np.ndarray, part: _Slice) -> None:
-        """Scores lie query by query; each has bounds that rounding cannot cross."""
-        rough = part.targets @ block.T
-        slack: float | np.ndarray = 1e-9
-        if self.metric == "l2":
-            squares = (block * block).sum(axis=1)
-            rough = 2 * rough - squares[None, :] - part.squares[:, None]
-            slack = 1e-9 * (1 + squares[None, :] + part.squares[:, None])
+                    find = self._near if self.metric == "cosine" else self._within
+                    self._add_slice(ids, block, rows, part, *find(part, block, near))
+
+    def _near(self, part: _Slice, block: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs whose cosine may count, by cosines in single precision.
+
+        Those of unit vectors are off by less than ``slack``: each of ``dim`` products and sums
+        and the two roundings before them by at most 2 ** -24 of a sum that is 1 at most.
+        """
+        slack = (self.dim + 8) * 2.0 ** -23
+        low = np.nextafter((part.floor - slack).astype(np.float32), np.float32(-np.inf))[:, None]
+        found = []
+        for begin in range(0, len(near), _POINT_SLICE):
+            rough = part.near @ near[begin:begin + _POINT_SLICE].T
+            at = np.flatnonzero(rough >= low)
+            if not len(at):
+                continue
+            c, r = np.divmod(at, rough.shape[1])
+            many = np.bincount(c, minlength=len(low)) > self.k
+            if many.any():
+                # the k-th best of this tile bounds what can enter
+                kth = np.full(len(low), -np.inf)
+                kth[many] = np.partition(rough[many], -self.k, axis=1)[:, -self.k]
+                keep = rough.ravel()[at] >= kth[c] - 2 * slack
+                c, r = c[keep], r[keep]
+            found.append((c, r + begin))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate([c for c, _ in found]), np.concatenate([r for _, r in found])
+
+    def _within(self, part: _Slice, block: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs whose distance may count. Scores lie query by query; each has bounds that rounding cannot cross."""
+        squares = (block * block).sum(axis=1)
+        rough = 2 * (part.targets @ block.T) - squares[None, :] - part.squares[:, None]
+        slack = 1e-9 * (1 + squares[None, :] + part.squares[:, None])
         most = rough + slack
         most[np.isnan(most)] = np.inf
         hit = most >= part.floor[:, None]
@@ -151,7 +183,11 @@ class _TopK:
             least[np.isnan(least)] = -np.inf
             kth = np.partition(least, -self.k, axis=1)[:, -self.k]
             hit[many] &= most[many] >= kth[:, None]
-        c, r = np.nonzero(hit)
+        return np.nonzero(hit)
+
+    def _add_slice(self, ids: pa.Array, block: np.ndarray, rows: np.ndarray, part: _Slice,
+                   c: np.ndarray, r: np.ndarray) -> None:
+        """The candidate pairs (query ``c``, point ``r``), scored and merged with the best so far."""
         if not len(r):
             return
         score = self._exact(block, part.targets, r, c)
@@ -240,6 +276,8 @@ def best_hits(queries: DataFrame, points: DataFrame, k: int = DEFAULTS.TOP_K,
     ])
     context = points.sparkSession.sparkContext
     blocks = max(1, math.ceil(size.bytes / block_bytes))
+    if blocks > 1:
+        pool = stored(pool, "search-points")
     found = []
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
