@@ -296,6 +296,21 @@ def test_encoder_equals_the_tokenizer(documents):
         assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_western_texts_equal_the_tokenizers():
+    encoder = packing.Encoder(packing.vocabulary())
+    signs = [chr(c) for c in (*range(0x250), *range(0x300, 0x310), *range(0x2000, 0x2065), *range(0x20A0, 0x20B0), 0x3A3, 0x1E9E, 0x4E2D)]
+    texts = [f"Don't {c}x{c} A{c}'S {c}{c} 1{c}2'll\n{c}.{c}'ve!'s" for c in signs] + ["".join(signs), "ΑΣ ΑΣ. é İstanbul", "a <| b", ""]
+    for text, raw in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_words_are_encoded_once_whatever_stands_around_them():
+    encoder = packing.Encoder(packing.vocabulary())
+    encoder.encode(["Word word, (word) word. WORD! word-word \"word\""])
+    held = [key for value in vars(encoder).values() if isinstance(value, dict) for key in value]
+    assert sorted(k for k in held if "word" in k.lower()) == ["word"]
+
+
 def test_packing_is_whole_and_tight(spark, documents, awkward, none):
     from tokenizers import Tokenizer
 

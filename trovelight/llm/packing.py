@@ -48,13 +48,23 @@ def vocabulary(path: str | None = None) -> str:
 class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes, equal to the tokenizer's own.
 
-    This tokenizer drops white space, and no token crosses it. Texts are therefore split at
-    white space and each run is encoded once; new runs are normalised, cut by the tokenizer's
-    own pattern and encoded many at a time, told apart by the tokens that end a word. Texts
-    where the split could differ (special tokens, separator controls) are encoded whole.
+    This tokenizer drops white space, and no token crosses the parts its own pattern cuts.
+    Normalised texts are cut into parts and each part is encoded once; new parts are encoded
+    many at a time, told apart by the tokens that end a word. Texts of Western letters are
+    normalised and cut by built-in means that agree with the tokenizer's there, others by the
+    tokenizer's normaliser and pattern. Texts where the cut could differ (special tokens,
+    separator controls) are encoded whole.
     """
 
     WHOLE = re.compile("<\\||[\x1c-\x1f]")
+    #: Characters that normalisation does no more to than to lower-case them.
+    WESTERN = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*")
+    #: The tokenizer's pattern over those, lower-cased.
+    PARTS = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f]+"
+                       "|'(?:s|t|re|ve|m|ll|d)"
+                       "|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
+                       "|[^\\sa-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u017f]+")
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, content: str):
         import regex
@@ -62,44 +72,46 @@ class Encoder:
 
         config = json.loads(content)
         self.tokenizer = Tokenizer.from_str(content)
-        self.cut = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = regex.compile(pattern)
+        rules = [n["type"] for n in config["normalizer"]["normalizers"]]
+        self.western = pattern == self.PATTERN and rules == ["NFC", "Replace", "Lowercase"]
         end = config["model"]["end_of_word_suffix"]
         words = config["model"]["vocab"]
         self.closes = np.zeros(max(words.values()) + 1, bool)
         self.closes[[i for w, i in words.items() if w.endswith(end)]] = True
         self.bare = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "added_tokens": []}))
-        self.runs: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def learn(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 10_000):
-            some = runs[at:at + 10_000]
-            plain = self.tokenizer.normalizer.normalize_str(" ".join(some)).split(" ")
-            cut = [self.cut.findall(r) for r in plain]
-            new = list({p for parts in cut for p in parts}.difference(self.parts))
-            if new:
-                ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.flatnonzero(self.closes[ids]) + 1
-                if len(ends) != len(new):
-                    raise ValueError("this tokenizer does not mark the ends of words")
-                raw, begin = ids.tobytes(), 0
-                for part, stop in zip(new, ends.tolist()):
-                    self.parts[part] = raw[4 * begin:4 * stop]
-                    begin = stop
-            for run, parts in zip(some, cut):
-                self.runs[run] = b"".join(map(self.parts.__getitem__, parts))
+    def learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 10_000):
+            some = parts[at:at + 10_000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("this tokenizer does not mark the ends of words")
+            raw, begin = ids.tobytes(), 0
+            for part, stop in zip(some, (4 * ends).tolist()):
+                self.parts[part] = raw[begin:stop]
+                begin = stop
+
+    def split(self, text: str) -> list[str] | None:
+        if self.western and "<|" not in text and self.WESTERN.fullmatch(text):
+            return self.PARTS.findall(text.lower())
+        if self.WHOLE.search(text):
+            return None
+        return self.cut.findall(self.tokenizer.normalizer.normalize_str(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.WHOLE.search(t) else t.split() for t in texts]
-        self.learn(list({r for runs in split if runs for r in runs}.difference(self.runs)))
+        split = [self.split(t) for t in texts]
+        self.learn(list({p for parts in split if parts for p in parts}.difference(self.parts)))
         out = []
-        for text, runs in zip(texts, split):
-            if runs is None:
+        for text, parts in zip(texts, split):
+            if parts is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                out.append(b"".join(map(self.runs.__getitem__, runs)))
-        if len(self.runs) > CACHE:
-            self.runs.clear()
+                out.append(b"".join(map(self.parts.__getitem__, parts)))
+        if len(self.parts) > CACHE:
             self.parts.clear()
         return out
 
