@@ -543,3 +543,40 @@ def test_toxic_texts_score_high(spark, abuse, none):
     blank = toxicity.score(docs, labels.where("false"), train)
     assert {r["score"] for r in blank.collect()} == {0.0} or blank.where("predicted = 1").isEmpty()
     assert toxicity.score(none, labels.where("false"), train).count() == 0
+
+
+def test_plain_words_cost_no_search_for_disguises(monkeypatch):
+    logs = np.log(np.full((toxicity.A,) * 3, 1 / toxicity.A))
+    asked = []
+    monkeypatch.setattr(toxicity, "hides_word", lambda t, hides=toxicity.hides_word: asked.append(t) or hides(t))
+    scorer = toxicity.Scorer(["plain", "word."], logs)
+    rows = scorer.rows(["A plain word, plainly said. \"Plain\"", "w o r d"])
+    assert asked == []
+    assert np.round(np.expm1(rows[:, :2])).tolist()[0] == [3.0, 1.0]
+
+
+def test_words_of_tokens_are_those_of_the_whole_rule():
+    rng = np.random.default_rng(3)
+    logs = np.log(rng.dirichlet(np.ones(toxicity.A), (toxicity.A,) * 2))
+    restorer = toxicity.Restorer(logs)
+
+    def slow(token):  # the rule without the short way for plain letters
+        core = token.strip(toxicity._EDGES)
+        lead = token[:len(token) - len(token.lstrip(toxicity._EDGES))]
+        if core and lead[-1:] in toxicity.LEET and lead[-2:-1] != lead[-1:]:
+            core = lead[-1:] + core
+        rest = token[len(token.rstrip(toxicity._EDGES)):]
+        tail = rest[:next((i for i, c in enumerate(rest) if c not in toxicity.LEET), len(rest))]
+        plain = () if core and toxicity.hides_word(core) else tuple(toxicity._WORDS.findall(token))
+        whole = core + tail if core else core
+        if not (whole and toxicity.hides_word(whole)):
+            return plain
+        found = toxicity.restore(whole, logs, "separators", len(tail)).split()
+        if len(token) > toxicity.LONGEST_PLAIN:
+            plain = tuple(toxicity._WORDS.findall(token))
+        return (*found, *(w for w in dict.fromkeys(plain) if w not in found))
+
+    signs = list("aabé²½ß1@$!.,_*'(|€ǅ中١")
+    for _ in range(4_000):
+        token = "".join(rng.choice(signs, rng.integers(1, 8)))
+        assert restorer.words(token) == slow(token), token

@@ -59,6 +59,7 @@ _EDGES = ".,!?;:%&#\"'()[]{}<>*|$~-_`…«»“”"
 _INNER = re.compile(r"[^\W\d_].*[\d@$!|+(€£*.\-_~'’/\\,:;·•].*[^\W\d_]|[\d@$!|+(€£*].*[^\W\d_].*[^\W\d_]"
                     r"|[^\W\d_].*[^\W\d_].*[\d@$!|+(€£]|[^\W\d_].*[@$!|+(€£]{2}|([^\W\d_])\1\1", re.S)
 _WORDS = re.compile(r"[^\W\d_]+")
+_THRICE = re.compile(r"(.)\1\1")
 
 
 def _code_table() -> np.ndarray:
@@ -174,26 +175,38 @@ class Restorer:
 
     def token(self, token: str) -> tuple[str, ...]:
         if (words := self.known.get(token)) is None:
-            core = token.strip(_EDGES)
-            lead = token[:len(token) - len(token.lstrip(_EDGES))]
-            if core and lead[-1:] in LEET and lead[-2:-1] != lead[-1:]:
-                core = lead[-1:] + core  # one leading sign may be a letter in disguise
-            # signs at the end may be letters; the word before them is kept if it says something plain
-            rest = token[len(token.rstrip(_EDGES)):]
-            tail = rest[:next((i for i, c in enumerate(rest) if c not in LEET), len(rest))]
-            plain = () if core and hides_word(core) else tuple(_WORDS.findall(token))
-            whole = core + tail if core else core
-            words = plain
-            if whole and hides_word(whole):
-                found = restore(whole, self.logs, "separators", len(tail)).split()
-                if len(token) > LONGEST_PLAIN:
-                    plain = tuple(_WORDS.findall(token))
-                words = (*found, *(w for w in dict.fromkeys(plain) if w not in found))
+            words = self.words(token)
             if len(self.known) > CACHE:
                 self.known.clear()
             self.known[token] = words
         return words
 
+    def words(self, token: str) -> tuple[str, ...]:
+        """The words of a token, worked out anew."""
+        core = token.strip(_EDGES)
+        if core.isalpha() and not _THRICE.search(core):
+            # letters alone hide nothing, unless a sign beside them may be a letter
+            begin = token.index(core)
+            end = begin + len(core)
+            if token[begin - 1:begin] not in LEET and token[end:end + 1] not in LEET:
+                return (core,)
+        lead = token[:len(token) - len(token.lstrip(_EDGES))]
+        if core and lead[-1:] in LEET and lead[-2:-1] != lead[-1:]:
+            core = lead[-1:] + core  # one leading sign may be a letter in disguise
+        # signs at the end may be letters; the word before them is kept if it says something plain
+        rest = token[len(token.rstrip(_EDGES)):]
+        tail = rest[:next((i for i, c in enumerate(rest) if c not in LEET), len(rest))]
+        hides = bool(core) and hides_word(core)
+        plain = () if hides else tuple(_WORDS.findall(token))
+        whole = core + tail if core else core
+        words = plain
+        if whole and (hides_word(whole) if tail else hides):
+            found = restore(whole, self.logs, "separators", len(tail)).split()
+            if len(token) > LONGEST_PLAIN:
+                plain = tuple(_WORDS.findall(token))
+            words = (*found, *(w for w in dict.fromkeys(plain) if w not in found))
+        return words
+
     def runs(self, tokens: list[str]) -> list[str]:
         """Words spelled by runs of single characters."""
         found, run = [], []
@@ -291,35 +304,49 @@ class Scorer:
     def __init__(self, markers: list[str], logs: np.ndarray):
         self.restorer = Restorer(logs)
         self.number = {m: i for i, m in enumerate(markers)}
+        self.heads = {m[:PREFIXES[0]] for m in markers}
         self.place: dict[str, int] = {}
-        self.kinds: list[tuple[tuple[int, ...], int]] = []
+        self.marks: dict[int, list[int]] = {}  # of the places that have any
+        self.counts = np.zeros((1 << 16, 3), np.int64)  # per place: words, marks or none, a single character
+
+    def marks_of(self, word: str) -> list[int]:
+        if (word + ".")[:PREFIXES[0]] not in self.heads:
+            return []
+        return [self.number[f] for f in features(word) if f in self.number]
+
+    def learn(self, token: str) -> None:
+        words = self.restorer.words(token)
+        place = self.place[token] = len(self.place)
+        if place == len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        marks = [m for w in words for m in self.marks_of(w)]
+        if marks:
+            self.marks[place] = marks
+        self.counts[place] = len(words), bool(marks), len(token) == 1
 
     def rows(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.number) + 3))
-        place, kinds = self.place, self.kinds
         for row, text in zip(out, texts):
             tokens = text.lower().split()
-            for t in set(tokens).difference(place):
-                words = self.restorer.token(t)
-                marks = tuple(self.number[f] for w in words for f in features(w) if f in self.number)
-                place[t] = len(kinds)
-                kinds.append((marks, len(words)))
-            found = [kinds[i] for i in map(place.__getitem__, tokens)]
-            n = 0
-            for marks, words in found:
-                n += words
-                for m in marks:
+            for t in set(tokens).difference(self.place):
+                self.learn(t)
+            at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
+            found = self.counts[at]
+            n = int(found[:, 0].sum())
+            for i in at[found[:, 1] > 0].tolist():
+                for m in self.marks[i]:
                     row[m] += 1
-            for w in self.restorer.runs(tokens):
-                n += 1
-                for f in features(w):
-                    if f in self.number:
-                        row[self.number[f]] += 1
+            single = found[:, 2] > 0
+            if (single[:-2] & single[1:-1] & single[2:]).any():  # RUN of them
+                for w in self.restorer.runs(tokens):
+                    n += 1
+                    for m in self.marks_of(w):
+                        row[m] += 1
             hits = row[:-3].sum()
             row[-3:] = math.log1p(n) / 10, math.log1p(hits), min(100 * hits / max(n, 1), 10.0)
-            if len(kinds) > CACHE:
-                place.clear()
-                kinds.clear()
+            if len(self.place) > CACHE:
+                self.place.clear()
+                self.marks.clear()
         out[:, :-3] = np.log1p(out[:, :-3])
         return out
 
