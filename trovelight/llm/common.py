@@ -56,8 +56,8 @@ def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     return rows.mapInArrow(typed, schema)
 
 
-def map_batches(rows: DataFrame, start: Callable[[], Callable], schema: str) -> DataFrame:
-    """``start()`` once per task, then its result on each Arrow batch.
+def map_batches(rows: DataFrame, start: Callable[[], Callable], schema: str, part: int = PART) -> DataFrame:
+    """``start()`` once per task, then its result on each Arrow batch, ``part`` rows at a time.
 
     The inner function takes a ``RecordBatch`` and returns a list of columns for ``schema``.
     """
@@ -65,7 +65,7 @@ def map_batches(rows: DataFrame, start: Callable[[], Callable], schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in (b.slice(i, PART) for b in batches for i in range(0, max(b.num_rows, 1), PART)):
+        for batch in (b.slice(i, part) for b in batches for i in range(0, max(b.num_rows, 1), part)):
             columns = work(batch)
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)

@@ -44,6 +44,7 @@ class Trie:
     piece: np.ndarray | None = None  # number of the piece that ends at a node, 0: none
     depth: int = 1
     size: int = 2
+    table: np.ndarray | None = None  # character numbers by code point; the last one is of all beyond
 
     @classmethod
     def of(cls, vocabulary: list[str]) -> Trie:
@@ -70,13 +71,14 @@ class Trie:
         for number, p in enumerate(kept):
             trie.piece[paths[p] if p in paths else -trie.chars[p]] = number + 2
         trie.depth, trie.size = max(map(len, kept), default=1), len(kept) + 2
+        trie.table = np.full(max(map(ord, trie.chars), default=0) + 2, -(len(trie.piece) - 1), np.int32)
+        trie.table[[ord(c) for c in trie.chars]] = list(trie.chars.values())
         return trie
 
     def codes(self, words: list[str]) -> np.ndarray:
         """Character numbers of words of one length, a row each."""
-        other = -(len(self.piece) - 1)
-        get = self.chars.get
-        return np.array([[get(c, other) for c in w] for w in words], np.int32)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+        return self.table[np.minimum(points, len(self.table) - 1)]
 
     def walk(self, codes: np.ndarray, start: int):
         """Yields (end, pieces) for the pieces that open at ``start`` in any of the words."""
@@ -188,17 +190,28 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", model: str | N
 
             def work(batch):
                 langs = np.array(batch.column(0).to_pylist(), object)
+                n = np.asarray(batch.column(2).to_pylist(), float)
+                total: dict[str, np.ndarray] = {}
                 parts, owner = [], []
+
+                def count():
+                    own = np.array(owner, np.int64)
+                    for lang in sorted(set(langs[own])):
+                        mine = np.flatnonzero(langs[own] == lang)
+                        uses = expected_counts(trie, probs.get(lang, flat), [parts[i] for i in mine], n[own[mine]])
+                        total[lang] = total.get(lang, 0.0) + uses
+                    parts.clear()
+                    owner.clear()
+
                 for i, w in enumerate(batch.column(1).to_pylist()):
                     for at in range(0, len(w), LONGEST):
                         parts.append(w[at:at + LONGEST])
                         owner.append(i)
-                owner = np.array(owner, np.int64)
-                n = np.asarray(batch.column(2).to_pylist(), float)[owner]
+                    if len(parts) >= 2 * SLICE:  # long words have many parts
+                        count()
+                count()
                 out: list[list] = [[], [], []]
-                for lang in sorted(set(langs)):
-                    mine = np.flatnonzero(langs[owner] == lang)
-                    uses = expected_counts(trie, probs.get(lang, flat), [parts[i] for i in mine], n[mine])
+                for lang, uses in sorted(total.items()):
                     used = np.flatnonzero(uses)
                     out[0] += [lang] * len(used)
                     out[1] += used.tolist()
@@ -207,7 +220,8 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", model: str | N
 
             return work
 
-        uses = common.map_batches(counts, start, "lang string, piece int, uses double")
+        # words are short rows, and those of one length are walked together: many at a time
+        uses = common.map_batches(counts, start, "lang string, piece int, uses double", SLICE)
         # summed as whole millionths: a sum of integers is the same in any order of tasks
         uses = uses.groupBy("lang", "piece").agg(F.sum(F.round(F.col("uses") * 1e6).cast("long")).alias("uses"))
         found = uses.toPandas()  # languages x vocabulary numbers at most
@@ -248,23 +262,26 @@ def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "
 
         def learn(tokens: list[str]) -> None:
             nonlocal values
-            runs = [LETTERS.findall(t) for t in tokens]
-            words = sorted({w for r in runs for w in r})
-            number = {w: i for i, w in enumerate(words)}
-            logs = log_likelihoods(model.trie, model.probs, words)
-            while len(known) + len(tokens) > len(values):
+            number: dict[str, int] = {}
+            owner, word = [], []
+            for i, token in enumerate(tokens):
+                for w in (token,) if token.isalpha() else LETTERS.findall(token):
+                    owner.append(i)
+                    word.append(number.setdefault(w, len(number)))
+            owner, word = np.array(owner, np.int64), np.array(word, np.int64)
+            logs = log_likelihoods(model.trie, model.probs, list(number))[word]
+            first, stop = len(known), len(known) + len(tokens)
+            while stop > len(values):
                 values = np.concatenate([values, np.zeros_like(values)])
-            for token, run in zip(tokens, runs):
-                place = known[token] = len(known)
-                values[place] = 0.0
-                for w in run:
-                    values[place, :n] += logs[number[w]]
-                    values[place, n] = 1.0
+            for i in range(n):
+                values[first:stop, i] = np.bincount(owner, logs[:, i], len(tokens))
+            values[first:stop, n] = np.bincount(owner, minlength=len(tokens)) > 0
+            known.update(zip(tokens, range(first, stop)))
 
         def work(batch):
             langs, scores = [], []
             read = [t.lower().split() for t in common.texts(batch, "__text")]
-            new = sorted({w for words in read for w in words}.difference(known)) if n else []
+            new = list({w for words in read for w in words}.difference(known)) if n else []
             if new:
                 learn(new)
             for words in read:
