@@ -603,3 +603,17 @@ def test_language_fit_of_long_words_and_signs(spark):
     codes = [model.trie.codes([w])[0].tolist() for w in words]
     other = -(len(model.trie.piece) - 1)
     assert codes == [[model.trie.chars.get(c, other) for c in w] for w in words]
+
+
+def test_paragraph_minima_are_those_of_their_shingles():
+    assert int(shingles._BASE) * int(shingles._INVERSE) % (1 << 64) == 1  # worked out once, not per text
+    text = "One two three four five six seven. Eight nine ten\neleven twelve Thirteen one two three four five six seven"
+    found = substring_dedup.Paragraphs(text)
+    own = found.shingles()
+    for row, a, b in zip(found.minima(), found.first, found.last):
+        least = np.array([(own[a:b - substring_dedup.SHINGLE + 1] * f).min() for f in substring_dedup._FACTORS])
+        assert (row == shingles.mixed(least + substring_dedup._FACTORS)).all()
+    for text in ("", " ", "a", " a ", "\n\na b\tc", "ab"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        begins, ends = shingles.word_bounds(raw)
+        assert [text[a:b] for a, b in zip(begins, ends)] == text.split()

@@ -7,6 +7,7 @@ import numpy as np
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD = ~_SPACE
 _STEP = U(0x9E3779B97F4A7C15)
 _MULTIPLIERS = (U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0x85EBCA77C2B2AE63))
 
@@ -24,6 +25,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mixed(np.arange(1, 257, dtype=U) * _STEP)  # a random number for each byte value
 _BASE = _MULTIPLIERS[0]
+_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -38,7 +40,9 @@ def powers(base: U, n: int) -> np.ndarray:
 
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the words (runs without ASCII white space) of UTF-8 bytes."""
-    edges = np.flatnonzero(np.diff(~_SPACE[raw], prepend=False, append=False))
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = _WORD[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[::2], edges[1::2]
 
 
@@ -47,10 +51,9 @@ def sequence_numbers(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -
 
     The sum weighs each place by a power of an odd base, which has an inverse modulo 2**64.
     """
-    inverse = U(pow(int(_BASE), -1, 1 << 64))
     total = np.zeros(len(values) + 1, U)
     np.cumsum(values * powers(_BASE, len(values))[:len(values)], out=total[1:])
-    return mixed((total[ends] - total[begins]) * powers(inverse, len(values))[begins] + (ends - begins).astype(U))
+    return mixed((total[ends] - total[begins]) * powers(_INVERSE, len(values))[begins] + (ends - begins).astype(U))
 
 
 def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -33,6 +33,7 @@ without a key take no part.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common, shingles
@@ -80,7 +81,9 @@ class Paragraphs:
         capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
         tail, before = raw[self.ends - 1], raw[np.maximum(self.ends - 2, 0)]
         stop = _STOPS[tail] | (_MARKS[tail] & _STOPS[before])
-        lines = np.diff(np.searchsorted(np.flatnonzero(raw == 10), self.begins), prepend=-1) != 0
+        line = np.searchsorted(np.flatnonzero(raw == 10), self.begins)
+        lines = np.ones(n, bool)
+        np.not_equal(line[1:], line[:-1], out=lines[1:])
         opens = capital | lines
         opens[1:] |= stop[:-1]
         first = np.flatnonzero(opens)
@@ -95,21 +98,22 @@ class Paragraphs:
         """A number for each paragraph's sequence of words."""
         return shingles.sequence_numbers(self.words, self.first, self.last)
 
-    def _reduce(self, how, values: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """``how`` over values[first:stop] of each paragraph."""
-        padded = np.append(values, values[-1:])
-        bounds = np.stack([self.first, stops], axis=1).ravel()
-        return how.reduceat(padded, bounds)[::2]
-
     def shingles(self) -> np.ndarray:
         """The shingle that begins at each word, the last few words aside."""
         return shingles.windows(self.words, SHINGLE)
 
     def minima(self) -> np.ndarray:
         """MinHashes (paragraphs x bands); equal numbers of different bands stay apart."""
-        own, stops = self.shingles(), self.last - SHINGLE + 1
-        least = [self._reduce(np.minimum, own * f, stops) for f in _FACTORS]
-        return shingles.mixed(np.stack(least, axis=1) + _FACTORS)
+        own = self.shingles()
+        bounds = np.empty(2 * len(self.first), np.int64)
+        bounds[::2], bounds[1::2] = self.first, self.last - SHINGLE + 1
+        least = np.empty((len(self.first), BANDS), np.uint64)
+        values = np.empty(len(own) + 1, np.uint64)  # the last one only lets a paragraph end at the end
+        for band, factor in enumerate(_FACTORS):
+            np.multiply(own, factor, out=values[:-1])
+            values[-1] = values[-2]
+            least[:, band] = np.minimum.reduceat(values, bounds)[::2]
+        return shingles.mixed(least + _FACTORS)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """First words and numbers of the runs that content chooses."""
@@ -190,7 +194,8 @@ def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame, compared: D
             return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
 
         def work(batch):
-            out = [[] for _ in range(9)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            sets_of, images = [], []
             for i, text in enumerate(common.texts(batch)):
                 found = Paragraphs(text)
                 run, run_numbers = found.runs()
@@ -205,17 +210,21 @@ def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame, compared: D
                 own = found.shingles() if sets.any() else None
                 first, last = found.first[hit], found.last[hit]
                 firsts, lasts = np.append(first, run), np.append(last, run + RUN)
-                for column, values in zip(out, (
-                        [i] * len(firsts), np.append(numbers[hit], run_numbers), *found.code_points(firsts, lasts),
-                        firsts, lasts - firsts, [False] * len(hit) + [True] * len(run))):
-                    column.extend(values)
+                runs = np.ones(len(firsts), bool)
+                runs[:len(hit)] = False
+                for part, values in zip(parts, (
+                        np.full(len(firsts), i), np.append(numbers[hit], run_numbers),
+                        *found.code_points(firsts, lasts), firsts, lasts - firsts, runs)):
+                    part.append(values)
                 for p, a, b in zip(hit.tolist(), first.tolist(), last.tolist()):
                     unit = np.unique(own[a:b - SHINGLE + 1]) if sets[p] else None
-                    out[7].append(None if unit is None else unit.view(np.int64))
-                    out[8].append(None if unit is None else np.unique(unit.astype(np.uint16)).tobytes())
-                out[7] += [None] * len(run)
-                out[8] += [None] * len(run)
-            return [common.repeated(batch.column(0), out[0]), *out[1:]]
+                    sets_of.append(None if unit is None else unit.view(np.int64))
+                    images.append(None if unit is None else np.unique(unit.astype(np.uint16)).tobytes())
+                sets_of += [None] * len(run)
+                images += [None] * len(run)
+            kinds = [np.int64] * 6 + [bool]
+            own, *columns = (np.concatenate([np.zeros(0, k), *part]) for part, k in zip(parts, kinds))
+            return [batch.column(0).take(pa.array(own, pa.int64())), *map(pa.array, columns), sets_of, images]
 
         return work
 
