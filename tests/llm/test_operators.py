@@ -617,3 +617,31 @@ def test_paragraph_minima_are_those_of_their_shingles():
         raw = np.frombuffer(text.encode(), np.uint8)
         begins, ends = shingles.word_bounds(raw)
         assert [text[a:b] for a, b in zip(begins, ends)] == text.split()
+
+
+def test_short_texts_are_worked_on_together_and_told_apart(monkeypatch):
+    texts = ["", "One two. Three four five six seven eight nine", "\n", "Ã", " ".join(words(400, 11)), "\"",
+             "É " + " ".join(words(60, 12)) + "\nThe last line of this text has words enough. And more", "", "a b c"] * 40
+    calls, words_of = [], shingles.words_of
+    monkeypatch.setattr(shingles, "words_of", lambda raw: calls.append(len(raw)) or words_of(raw))
+
+    def rows(found, begin):
+        out = []
+        run, numbers = found.runs()
+        sets = np.split(found.sets(np.arange(len(found.first)))[1], np.cumsum(found.sets(np.arange(len(found.first)))[0])[:-1])
+        out += zip((begin + found.text_of(run)).tolist(), (run - found.starts[found.text_of(run)]).tolist(), numbers.tolist())
+        starts, ends = found.code_points(found.first, found.last)
+        own = found.text_of(found.first)
+        out += zip((begin + own).tolist(), (found.first - found.starts[own]).tolist(), found.numbers().tolist(),
+                   map(tuple, found.minima().tolist()), starts.tolist(), ends.tolist(), (tuple(s.tolist()) for s in sets))
+        return out
+
+    together = [r for begin, found in substring_dedup.together(texts) for r in rows(found, begin)]
+    assert len(calls) <= sum(map(len, texts)) // 30_000 + 1
+    alone = [r for i, t in enumerate(texts) for r in rows(substring_dedup.Paragraphs(t), i)]
+    assert sorted(together, key=str) == sorted(alone, key=str)
+    assert len(alone) > 1000
+    for row in alone:
+        if len(row) > 3:  # a paragraph stands in its own text, and its set is that of its shingles
+            passage = texts[row[0]][row[4]:row[5]]
+            assert row[6] == tuple(shingles.shingle_set(shingles.word_numbers(passage), substring_dedup.SHINGLE).tolist())

@@ -31,7 +31,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: U, n: int) -> np.ndarray:
     """Powers of an odd number modulo 2**64, at least ``n`` of them."""
-    if len(_powers.get(int(base), ())) < n:
+    if int(base) not in _powers or len(_powers[int(base)]) < n:
         steps = np.full(1 << max(10, (n - 1).bit_length()), base, U)
         steps[0] = 1
         _powers[int(base)] = np.multiply.accumulate(steps)
@@ -56,6 +56,13 @@ def sequence_numbers(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -
     return mixed((total[ends] - total[begins]) * powers(_INVERSE, len(values))[begins] + (ends - begins).astype(U))
 
 
+def run_numbers(values: np.ndarray, k: int) -> np.ndarray:
+    """``sequence_numbers`` of each run of ``k`` values."""
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values * powers(_BASE, len(values))[:len(values)], out=total[1:])
+    return mixed((total[k:] - total[:-k]) * powers(_INVERSE, len(values))[:len(values) - k + 1] + U(k))
+
+
 def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A number for each word of lower-cased UTF-8 bytes, with begins and ends."""
     begins, ends = word_bounds(raw)

@@ -32,6 +32,8 @@ without a key take no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -43,6 +45,7 @@ from .minhash_dedup import crowded, linked
 SHINGLE, BANDS = 5, 4
 LEAST_WORDS, GAP, LEAST_PASSAGE = 6, 12, 25
 RUN, AROUND = 12, 14
+TOGETHER = 1 << 16  # characters of short texts that are worked on at a time
 FILTER_BITS = 1 << 26  # 8 MB
 PAGE_BITS = 1 << 15  # of one row of Spark's bitmap aggregate
 
@@ -65,26 +68,33 @@ def _sliding(how, values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Paragraphs:
-    """The paragraphs of one text: word ranges, bytes, and numbers that tell them apart."""
+    """The paragraphs of texts: word ranges, bytes, and numbers that tell them apart.
+
+    Short texts are worked on together, since an array step costs more than its few values. A
+    line feed stands between two texts and begins a paragraph; no shingle or run that reaches
+    over it is used. ``starts`` has each text's first word, and the number of words at the end.
+    """
 
-    def __init__(self, text: str):
-        content = text.encode("utf-8", "replace")
-        self.raw = np.frombuffer(content, np.uint8)
+    def __init__(self, *texts: str):
+        contents = [t.encode("utf-8", "replace") for t in texts]
+        content = b"\n".join(contents)
+        self.raw = raw = np.frombuffer(content, np.uint8)
         self.words, self.begins, self.ends = shingles.words_of(np.frombuffer(content.lower(), np.uint8))
+        self.offsets = np.cumsum([0, *(len(c) + 1 for c in contents)])
+        self.starts = np.searchsorted(self.begins, self.offsets)
         n = len(self.words)
         if not n:
             self.first = self.last = np.zeros(0, np.int64)
             return
-        raw = self.raw
         lead = raw[self.begins]
         second = raw[np.minimum(self.begins + 1, len(raw) - 1)]
         capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
         tail, before = raw[self.ends - 1], raw[np.maximum(self.ends - 2, 0)]
         stop = _STOPS[tail] | (_MARKS[tail] & _STOPS[before])
-        line = np.searchsorted(np.flatnonzero(raw == 10), self.begins)
-        lines = np.ones(n, bool)
-        np.not_equal(line[1:], line[:-1], out=lines[1:])
-        opens = capital | lines
+        lines = np.zeros(n + 1, bool)
+        lines[np.searchsorted(self.begins, np.flatnonzero(raw == 10))] = True
+        lines[0] = True
+        opens = capital | lines[:-1]
         opens[1:] |= stop[:-1]
         first = np.flatnonzero(opens)
         # short pieces of a line that follow each other make one paragraph
@@ -94,6 +104,10 @@ class Paragraphs:
         long = last - first >= LEAST_WORDS
         self.first, self.last = first[long], last[long]
 
+    def text_of(self, words: np.ndarray) -> np.ndarray:
+        """Which text each word is in."""
+        return np.searchsorted(self.starts[:-1], words, "right") - 1
+
     def numbers(self) -> np.ndarray:
         """A number for each paragraph's sequence of words."""
         return shingles.sequence_numbers(self.words, self.first, self.last)
@@ -104,10 +118,12 @@ class Paragraphs:
 
     def minima(self) -> np.ndarray:
         """MinHashes (paragraphs x bands); equal numbers of different bands stay apart."""
+        least = np.empty((len(self.first), BANDS), np.uint64)
+        if not len(least):
+            return least
         own = self.shingles()
         bounds = np.empty(2 * len(self.first), np.int64)
         bounds[::2], bounds[1::2] = self.first, self.last - SHINGLE + 1
-        least = np.empty((len(self.first), BANDS), np.uint64)
         values = np.empty(len(own) + 1, np.uint64)  # the last one only lets a paragraph end at the end
         for band, factor in enumerate(_FACTORS):
             np.multiply(own, factor, out=values[:-1])
@@ -115,22 +131,58 @@ class Paragraphs:
             least[:, band] = np.minimum.reduceat(values, bounds)[::2]
         return shingles.mixed(least + _FACTORS)
 
+    def sets(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Shingle sets of the paragraphs ``some`` and the sets' 16-bit images.
+
+        Sizes and values of the sets, then of the images, one paragraph after the other.
+        """
+        sizes = self.last[some] - self.first[some] - SHINGLE + 1
+        if not len(some):
+            return sizes, np.zeros(0, np.uint64), sizes, np.zeros(0, np.uint16)
+        own = np.repeat(np.arange(len(some)), sizes)
+        at = np.arange(len(own)) + np.repeat(self.first[some] - np.cumsum(sizes) + sizes, sizes)
+        values = self.shingles()[at]
+        order = np.lexsort((values, own))
+        values = values[order]  # ``own`` ascends already
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (values[1:] != values[:-1])
+        own, values = own[new], values[new]
+        image = np.sort((own << 16) | (values & np.uint64(0xFFFF)).astype(np.int64))
+        image = image[np.append(True, image[1:] != image[:-1])]
+        count = lambda x: np.bincount(x, minlength=len(some))
+        return count(own), values, count(image >> 16), (image & 0xFFFF).astype(np.uint16)
+
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """First words and numbers of the runs that content chooses."""
         n = len(self.words) - RUN + 1
         if n < AROUND:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.arange(n)
-        numbers = shingles.mixed(shingles.sequence_numbers(self.words, at, at + RUN) + _RUNS)
+        numbers = shingles.mixed(shingles.run_numbers(self.words, RUN) + _RUNS)
         least = _sliding(np.minimum, numbers, AROUND)
+        for begin in self.starts[1:-1].tolist():  # not what reaches into the next text
+            least[max(0, begin - RUN - AROUND + 2):begin] = 0
         edge = np.zeros(AROUND - 1, np.uint64)
         chosen = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), AROUND) == numbers)
         return chosen, numbers[chosen]
 
     def code_points(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of word ranges in code points."""
-        count = np.cumsum((self.raw & 0xC0) != 0x80)
-        return count[self.begins[first]] - 1, count[self.ends[last - 1] - 1]
+        """Begin and end of word ranges in code points of their text."""
+        count = np.zeros(len(self.raw) + 1, np.int64)
+        np.cumsum((self.raw & 0xC0) != 0x80, out=count[1:])
+        base = count[self.offsets[self.text_of(first)]]
+        return count[self.begins[first]] - base, count[self.ends[last - 1]] - base
+
+
+def together(texts: list[str]) -> Iterator[tuple[int, Paragraphs]]:
+    """The texts' paragraphs, about ``TOGETHER`` characters at a time, with the first text's place."""
+    begin = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > TOGETHER:
+            yield begin, Paragraphs(*texts[begin:i])
+            begin, held = i, 0
+        held += len(text)
+    if begin < len(texts):
+        yield begin, Paragraphs(*texts[begin:])
 
 
 def paragraph_numbers(docs: DataFrame, key: str) -> DataFrame:
@@ -142,17 +194,18 @@ def paragraph_numbers(docs: DataFrame, key: str) -> DataFrame:
     def start():
         def work(batch):
             own, number, run, bands = [], [], [], []
-            for i, text in enumerate(common.texts(batch)):
-                found = Paragraphs(text)
-                runs = np.unique(found.runs()[1])
-                n = len(found.first)
-                if n:
-                    number.append(found.numbers())
-                    bands.append(found.minima())
-                number.append(runs)
-                bands.append(np.zeros((len(runs), BANDS), np.uint64))
-                own.append(np.full(n + len(runs), i))
-                run += [np.zeros(n, bool), np.ones(len(runs), bool)]
+            for begin, found in together(common.texts(batch)):
+                at, numbers = found.runs()
+                text = found.text_of(at)
+                order = np.lexsort((numbers, text))
+                text, numbers = text[order], numbers[order]
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (numbers[1:] != numbers[:-1])
+                text, numbers = text[new], numbers[new]
+                own += [begin + found.text_of(found.first), begin + text]
+                number += [found.numbers(), numbers]
+                bands += [found.minima(), np.zeros((len(numbers), BANDS), np.uint64)]
+                run += [np.zeros(len(found.first), bool), np.ones(len(numbers), bool)]
             joined = lambda x, empty: np.concatenate([empty, *x])
             flat = joined(bands, np.zeros((0, BANDS), np.uint64)).view(np.int64)
             return [common.repeated(batch.column(0), joined(own, np.zeros(0, np.int64))),
@@ -190,41 +243,42 @@ def flagged_paragraphs(docs: DataFrame, key: str, wanted: DataFrame, compared: D
         filters = shared.value
 
         def passed(numbers: np.ndarray, bits: np.ndarray) -> np.ndarray:
-            at = numbers % FILTER_BITS
+            at = numbers & (FILTER_BITS - 1)
             return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
 
         def work(batch):
-            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-            sets_of, images = [], []
-            for i, text in enumerate(common.texts(batch)):
-                found = Paragraphs(text)
+            parts: list[list[np.ndarray]] = [[] for _ in range(12)]
+            for begin, found in together(common.texts(batch)):
                 run, run_numbers = found.runs()
                 run_numbers = run_numbers.view(np.int64)
                 some = passed(run_numbers, filters[2])
                 run, run_numbers = run[some], run_numbers[some]
-                numbers = found.numbers().view(np.int64) if len(found.first) else run_numbers[:0]
+                numbers = found.numbers().view(np.int64)
                 hit = np.flatnonzero(passed(numbers, filters[0]))
                 if not len(hit) and not len(run):
                     continue
-                sets = passed(numbers, filters[1])
-                own = found.shingles() if sets.any() else None
-                first, last = found.first[hit], found.last[hit]
-                firsts, lasts = np.append(first, run), np.append(last, run + RUN)
-                runs = np.ones(len(firsts), bool)
-                runs[:len(hit)] = False
-                for part, values in zip(parts, (
-                        np.full(len(firsts), i), np.append(numbers[hit], run_numbers),
-                        *found.code_points(firsts, lasts), firsts, lasts - firsts, runs)):
-                    part.append(values)
-                for p, a, b in zip(hit.tolist(), first.tolist(), last.tolist()):
-                    unit = np.unique(own[a:b - SHINGLE + 1]) if sets[p] else None
-                    sets_of.append(None if unit is None else unit.view(np.int64))
-                    images.append(None if unit is None else np.unique(unit.astype(np.uint16)).tobytes())
-                sets_of += [None] * len(run)
-                images += [None] * len(run)
-            kinds = [np.int64] * 6 + [bool]
-            own, *columns = (np.concatenate([np.zeros(0, k), *part]) for part, k in zip(parts, kinds))
-            return [batch.column(0).take(pa.array(own, pa.int64())), *map(pa.array, columns), sets_of, images]
+                first, last = np.append(found.first[hit], run), np.append(found.last[hit], run + RUN)
+                text = found.text_of(first)
+                compared = np.zeros(len(first), bool)
+                compared[:len(hit)] = passed(numbers[hit], filters[1])
+                sizes, values, widths, images = found.sets(hit[compared[:len(hit)]])
+                all_sizes, all_widths = np.zeros((2, len(first)), np.int64)
+                all_sizes[compared], all_widths[compared] = sizes, 2 * widths
+                for part, column in zip(parts, (
+                        begin + text, np.append(numbers[hit], run_numbers), *found.code_points(first, last),
+                        first - found.starts[text], last - first, np.arange(len(first)) >= len(hit),
+                        compared, all_sizes, values.view(np.int64), all_widths, images)):
+                    part.append(column)
+            kinds = [np.int64] * 6 + [bool, bool, np.int64, np.int64, np.int64, np.uint16]
+            own, *columns, compared, sizes, values, widths, images = (
+                np.concatenate([np.zeros(0, k), *part]) for part, k in zip(parts, kinds))
+            ends = lambda x: np.append(0, np.cumsum(x)).astype(np.int32)
+            none = pa.array(~compared)
+            sets = pa.ListArray.from_arrays(pa.array(ends(sizes)), pa.array(values), mask=none)
+            present = pa.array(compared).buffers()[1] if len(compared) else None
+            images = pa.Array.from_buffers(
+                pa.binary(), len(compared), [present, pa.py_buffer(ends(widths)), pa.py_buffer(images)])
+            return [common.repeated(batch.column(0), own), *map(pa.array, columns), sets, images]
 
         return work
 
