@@ -645,3 +645,22 @@ def test_short_texts_are_worked_on_together_and_told_apart(monkeypatch):
         if len(row) > 3:  # a paragraph stands in its own text, and its set is that of its shingles
             passage = texts[row[0]][row[4]:row[5]]
             assert row[6] == tuple(shingles.shingle_set(shingles.word_numbers(passage), substring_dedup.SHINGLE).tolist())
+
+
+def test_parts_met_again_are_encoded_once_across_tasks(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 40)
+    monkeypatch.setattr(packing, "SLICE", 7)
+    content = packing.vocabulary() + "\n"  # no other test's encoder
+    encoded, Encoding = [], packing.Encoder(content).bare
+    texts = [f"Often, often met é {' '.join(words(15, i, 10_000))} 你好{i} met's" for i in range(60)] + ["a <| b", "", "\x1c x"]
+    for at in range(0, len(texts), 3):  # each as if by another task of the worker
+        encoder = packing.encoder(content)
+        if not encoded:
+            encoder.bare = type("Counting", (), {"encode_batch_fast": lambda self, some, **k: (
+                encoded.append(some[0].split()), setattr(Encoding, "pre_tokenizer", self.pre_tokenizer),
+                Encoding.encode_batch_fast(some, **k))[-1]})()
+        for text, raw in zip(texts[at:at + 3], encoder.encode(texts[at:at + 3])):
+            assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    counts = Counter(p for parts in encoded for p in parts)
+    assert counts["often"] == counts["met"] == counts["'s"] == 1
+    assert len(encoder.numbers) + len(encoder.older_numbers) < 400

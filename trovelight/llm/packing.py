@@ -20,6 +20,8 @@ key are packed each by itself; pieces alike in key, number, length and checksum
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import re
 import zlib
@@ -32,7 +34,8 @@ from . import common
 
 CAPACITY = 2_048
 CLOSE = 0
-CACHE = 300_000
+CACHE = 400_000  # parts of two generations
+SLICE = 1 << 16  # parts whose tokens are gathered at a time
 RANGE_ROWS = 4_096
 VOCABULARY = "word_bpe_49k.json"
 
@@ -45,6 +48,33 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+class Numbers(dict):
+    """Numbers strings as they come."""
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self)
+        return number
+
+
+class Tokens:
+    """The tokens of numbered parts: of part ``n``, ``sizes[n]`` from place ``begins[n]`` on."""
+
+    def __init__(self):
+        self.begins = self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The tokens of the parts ``numbers``, one after the other."""
+        sizes = self.sizes[numbers]
+        at = np.repeat(self.begins[numbers] - np.cumsum(sizes) + sizes, sizes)
+        return self.ids[at + np.arange(len(at))]
+
+
 class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes, equal to the tokenizer's own.
 
@@ -54,6 +84,9 @@ class Encoder:
     normalised and cut by built-in means that agree with the tokenizer's there, others by the
     tokenizer's normaliser and pattern. Texts where the cut could differ (special tokens,
     separator controls) are encoded whole.
+
+    Known parts have numbers and their tokens lie in one array, from which a text's are gathered.
+    They are kept in two generations, so that those met again stay when rare ones go.
     """
 
     WHOLE = re.compile("<\\||[\x1c-\x1f]")
@@ -64,11 +97,12 @@ class Encoder:
                        "|'(?:s|t|re|ve|m|ll|d)"
                        "|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
                        "|[^\\sa-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u017f]+")
+    BYTES = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, content: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         config = json.loads(content)
         self.tokenizer = Tokenizer.from_str(content)
@@ -80,20 +114,39 @@ class Encoder:
         words = config["model"]["vocab"]
         self.closes = np.zeros(max(words.values()) + 1, bool)
         self.closes[[i for w, i in words.items() if w.endswith(end)]] = True
-        self.bare = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "added_tokens": []}))
-        self.parts: dict[str, bytes] = {}
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.by_pattern = self.tokenizer.pre_tokenizer
+        # parts that are cut already need no second cut, only an end at the blanks between them
+        self.western = self.western and config["pre_tokenizer"]["pretokenizers"][1:] == self.BYTES
+        self.by_blanks = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.numbers, self.older_numbers = Numbers(), Numbers()
+        self.tokens, self.older_tokens = Tokens(), Tokens()
 
     def learn(self, parts: list[str]) -> None:
+        """Makes ``parts``, which have been numbered, known."""
+        old = np.fromiter(map(self.older_numbers.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        sizes, tokens = [], []
         for at in range(0, len(parts), 10_000):
-            some = parts[at:at + 10_000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            some, kept = parts[at:at + 10_000], old[at:at + 10_000]
+            fresh = [p for p, k in zip(some, (kept < 0).tolist()) if k]
+            joined = " ".join(fresh)
+            self.bare.pre_tokenizer = self.by_blanks if self.western and self.WESTERN.fullmatch(joined) else self.by_pattern
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some):
+            if len(ends) != len(fresh):
                 raise ValueError("this tokenizer does not mark the ends of words")
-            raw, begin = ids.tobytes(), 0
-            for part, stop in zip(some, (4 * ends).tolist()):
-                self.parts[part] = raw[begin:stop]
-                begin = stop
+            size = np.empty(len(some), np.int64)
+            size[kept < 0] = np.diff(ends, prepend=0)
+            size[kept >= 0] = self.older_tokens.sizes[kept[kept >= 0]]
+            own = np.empty(size.sum(), "<u4")
+            is_new = np.repeat(kept < 0, size)
+            own[is_new] = ids
+            own[~is_new] = self.older_tokens.of(kept[kept >= 0])
+            sizes.append(size)
+            tokens.append(own)
+        if parts:
+            self.tokens.add(np.concatenate(sizes), np.concatenate(tokens))
 
     def split(self, text: str) -> list[str] | None:
         if self.western and "<|" not in text and self.WESTERN.fullmatch(text):
@@ -103,19 +156,29 @@ class Encoder:
         return self.cut.findall(self.tokenizer.normalizer.normalize_str(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.numbers) > CACHE // 2:
+            self.numbers, self.older_numbers = Numbers(), self.numbers
+            self.tokens, self.older_tokens = Tokens(), self.tokens
         split = [self.split(t) for t in texts]
-        self.learn(list({p for parts in split if parts for p in parts}.difference(self.parts)))
+        seen = len(self.numbers)
+        number = self.numbers.__getitem__
+        numbers = [None if parts is None else np.fromiter(map(number, parts), np.int32, len(parts)) for parts in split]
+        self.learn(list(itertools.islice(self.numbers, seen, None)))
         out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
+        for text, own in zip(texts, numbers):
+            if own is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                out.append(b"".join(map(self.parts.__getitem__, parts)))
-        if len(self.parts) > CACHE:
-            self.parts.clear()
+                out.append(b"".join([self.tokens.of(own[at:at + SLICE]).tobytes() for at in range(0, len(own), SLICE)]))
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(content: str) -> Encoder:
+    """One for each worker process; what it knows serves the next task, too."""
+    return Encoder(content)
+
+
 def token_pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, path: str | None = None,
                  with_ids: bool = False) -> DataFrame:
     """Rows (key, piece, start, length, ids_crc32) of every document; ``ids`` too if asked for."""
@@ -123,11 +186,11 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY,
     close = np.array([CLOSE], "<u4").tobytes()
 
     def start():
-        encoder = Encoder(content.value)
+        own_encoder = encoder(content.value)
 
         def work(batch):
             own, piece, begin, length, crc, ids = [], [], [], [], [], []
-            for i, raw in enumerate(encoder.encode(common.texts(batch))):
+            for i, raw in enumerate(own_encoder.encode(common.texts(batch))):
                 raw += close
                 for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at:at + 4 * capacity]
