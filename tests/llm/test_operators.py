@@ -664,3 +664,45 @@ def test_parts_met_again_are_encoded_once_across_tasks(monkeypatch):
     counts = Counter(p for parts in encoded for p in parts)
     assert counts["often"] == counts["met"] == counts["'s"] == 1
     assert len(encoder.numbers) + len(encoder.older_numbers) < 400
+
+
+def test_a_worker_lets_other_operators_state_go(spark):
+    rows = spark.range(4, numPartitions=1).select("id")
+    held = []
+    packing_kept = common.kept("packing", 1, lambda: held)
+    assert common.kept("packing", 1, list) is packing_kept and common.kept("packing", 2, list) is not packing_kept
+
+    def start():
+        return lambda batch: [[len(common._kept)] * batch.num_rows]
+
+    def keeping():
+        common.kept("another operator", 1, list)
+        common.let_go(start.__module__)
+        return start()
+
+    assert {r["n"] for r in common.map_batches(rows, keeping, "n int").collect()} == {0}
+    common.let_go("packing")
+    assert list(common._kept) == ["packing"]
+    common.let_go("language_id")
+    assert not common._kept
+
+
+def test_texts_are_split_in_bounded_runs_and_sent_once(spark, monkeypatch):
+    assert list(common.runs(["ab", "c", "", "defgh", "i"], 3)) == [["ab", "c", ""], ["defgh"], ["i"]]
+    assert list(common.runs([], 3)) == [] and list(common.runs([""], 3)) == [[""]]
+    docs = spark.createDataFrame([(i, f"les {' '.join(words(9, i))} sont" if i % 2 else f"the {i} was", "fr" if i % 2 else "en")
+                                  for i in range(60)], "doc_id long, text string, lang string")
+    model, asked, starts = language_id.fit(docs), [], []
+    want = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()}
+    batches = common.map_batches
+    monkeypatch.setattr(common, "map_batches", lambda rows, start, schema, *a: (
+        asked.append(rows.columns), starts.append(start), batches(rows, start, schema, *a))[-1])
+    language_id.predict(docs, model)
+    assert asked == [["doc_id", "text", "lang"]]
+    monkeypatch.setattr(language_id, "CACHE", 6)
+    monkeypatch.setattr(language_id, "CHARACTERS", 50)
+    learned, logs = [], language_id.log_likelihoods
+    monkeypatch.setattr(language_id, "log_likelihoods", lambda trie, probs, some: (learned.append(len(some)), logs(trie, probs, some))[-1])
+    columns = starts[0]()(docs.toArrow().combine_chunks().to_batches()[0])
+    found = dict(zip(columns[0].to_pylist(), zip(*columns[-2:])))
+    assert found == want and len(learned) > 10

@@ -9,6 +9,7 @@ Conventions of the package, unless an operator's docstring says otherwise:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,14 +45,45 @@ def arrow_schema(rows: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
 
 
+#: By module: what its tasks leave to the next ones of the same worker process, and for which key.
+_kept: dict[str, tuple] = {}
+
+
+def kept(owner: str, key, make: Callable):
+    """``make()``, once per worker process for as long as tasks of the module ``owner`` ask for ``key``.
+
+    Worker processes serve one operator after the other: a task of another module lets it go.
+    """
+    if owner not in _kept or _kept[owner][0] != key:
+        _kept.pop(owner, None)  # the old one goes before the new one is made
+        _kept[owner] = key, make()
+    return _kept[owner][1]
+
+
+def let_go(owner: str) -> None:
+    """Drops what other modules than ``owner`` have kept, and returns free memory to the system.
+
+    An idle worker process still counts as its executor's memory, and so do free pages it holds.
+    """
+    for other in set(_kept).difference([owner]):
+        del _kept[other]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim:
+        trim(0)
+
+
 def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``run`` on the Arrow batches of each task; it yields lists of row tuples."""
     arrow = arrow_schema(rows, schema)
 
     def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(run.__module__)
         for out in run(batches):
             columns = list(zip(*out)) or [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            del out, columns
+        let_go(run.__module__)
 
     return rows.mapInArrow(typed, schema)
 
@@ -64,12 +96,16 @@ def map_batches(rows: DataFrame, start: Callable[[], Callable], schema: str, par
     arrow = arrow_schema(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(start.__module__)
         work = start()
         for batch in (b.slice(i, part) for b in batches for i in range(0, max(b.num_rows, 1), part)):
             columns = work(batch)
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
                  for c, f in zip(columns, arrow)], schema=arrow)
+            del batch, columns  # not held while the next ones are read
+        del work
+        let_go(start.__module__)
 
     return rows.mapInArrow(run, schema)
 
@@ -79,6 +115,18 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def runs(some: list[str], most: int) -> Iterator[list[str]]:
+    """``some`` in order, in lists of at most ``most`` characters, or of a single longer text."""
+    first = size = 0
+    for i, one in enumerate(some):
+        if size + len(one) > most and i > first:
+            yield some[first:i]
+            first, size = i, 0
+        size += len(one)
+    if some:
+        yield some[first:]
+
+
 def repeated(keys: pa.Array, rows: list[int]) -> pa.Array:
     """The keys at ``rows``, which may be none."""
     return keys.take(pa.array(rows, pa.int64()))

@@ -26,8 +26,9 @@ from .token_count import MARK, pieces
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 SMOOTHING = 200.0
-CACHE = 300_000
+CACHE = 160_000  # tokens of two generations
 SLICE = 8_192  # words of one length that are walked together
+CHARACTERS = 1 << 20  # of texts that are split into tokens at a time
 
 
 @dataclass
@@ -251,17 +252,30 @@ def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, vars(model.trie), model.probs))
     keep = [c for c in docs.columns if c not in (language, score)]
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    # texts are large: sent once where they are kept, too
+    read = text if text in keep else "__text"
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(read))
 
     def start():
         languages, trie, probs = shared.value
         model = Model(languages, Trie(**trie), probs)
         n = len(languages)
         known: dict[str, int] = {}
-        values = np.zeros((1 << 16, n + 1))  # per token: log-likelihoods, and letters or not
+        values = np.zeros((1 << 14, n + 1))  # per token: log-likelihoods, and letters or not
+        older, older_values = {}, values[:0]  # those before; tokens met again stay when rare ones go
 
-        def learn(tokens: list[str]) -> None:
+        def add(tokens: list[str], own: np.ndarray) -> None:
             nonlocal values
+            first, stop = len(known), len(known) + len(tokens)
+            while stop > len(values):
+                values = np.concatenate([values, np.zeros_like(values)])
+            values[first:stop] = own
+            known.update(zip(tokens, range(first, stop)))
+
+        def learn(tokens: list[str]) -> None:
+            met = [w for w in tokens if w in older]
+            add(met, older_values[np.fromiter(map(older.__getitem__, met), np.int64, len(met))])
+            tokens = [w for w in tokens if w not in older]
             number: dict[str, int] = {}
             owner, word = [], []
             for i, token in enumerate(tokens):
@@ -270,33 +284,33 @@ def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "
                     word.append(number.setdefault(w, len(number)))
             owner, word = np.array(owner, np.int64), np.array(word, np.int64)
             logs = log_likelihoods(model.trie, model.probs, list(number))[word]
-            first, stop = len(known), len(known) + len(tokens)
-            while stop > len(values):
-                values = np.concatenate([values, np.zeros_like(values)])
+            own = np.empty((len(tokens), n + 1))
             for i in range(n):
-                values[first:stop, i] = np.bincount(owner, logs[:, i], len(tokens))
-            values[first:stop, n] = np.bincount(owner, minlength=len(tokens)) > 0
-            known.update(zip(tokens, range(first, stop)))
+                own[:, i] = np.bincount(owner, logs[:, i], len(tokens))
+            own[:, n] = np.bincount(owner, minlength=len(tokens)) > 0
+            add(tokens, own)
 
         def work(batch):
+            nonlocal known, values, older, older_values
             langs, scores = [], []
-            read = [t.lower().split() for t in common.texts(batch, "__text")]
-            new = list({w for words in read for w in words}.difference(known)) if n else []
-            if new:
-                learn(new)
-            for words in read:
-                total = values[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0) \
-                    if words and n else np.zeros(n + 1)
-                if not total[n]:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                best = int(np.argmax(total[:n]))
-                langs.append(model.languages[best])
-                scores.append(float(1.0 / np.exp(total[:n] - total[best]).sum()))
-            if len(known) > CACHE:
-                known.clear()
-            return [*batch.columns[:-1], langs, scores]
+            for some in common.runs(common.texts(batch, read), CHARACTERS):
+                split = [t.lower().split() for t in some]
+                new = list({w for words in split for w in words}.difference(known)) if n else []
+                if new:
+                    learn(new)
+                for words in split:
+                    total = values[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0) \
+                        if words and n else np.zeros(n + 1)
+                    if not total[n]:
+                        langs.append(UNKNOWN)
+                        scores.append(0.0)
+                        continue
+                    best = int(np.argmax(total[:n]))
+                    langs.append(model.languages[best])
+                    scores.append(float(1.0 / np.exp(total[:n] - total[best]).sum()))
+                if len(known) > CACHE // 2:
+                    older, older_values, known, values = known, values, {}, np.zeros((1 << 14, n + 1))
+            return [*batch.columns[:len(keep)], langs, scores]
 
         return work
 

@@ -20,7 +20,6 @@ key are packed each by itself; pieces alike in key, number, length and checksum
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import re
@@ -36,6 +35,7 @@ CAPACITY = 2_048
 CLOSE = 0
 CACHE = 400_000  # parts of two generations
 SLICE = 1 << 16  # parts whose tokens are gathered at a time
+CHARACTERS = 1 << 19  # of texts that are cut into parts at a time
 RANGE_ROWS = 4_096
 VOCABULARY = "word_bpe_49k.json"
 
@@ -173,10 +173,9 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(content: str) -> Encoder:
-    """One for each worker process; what it knows serves the next task, too."""
-    return Encoder(content)
+    """One for each worker process; what it knows serves the next task of this operator, too."""
+    return common.kept(__name__, content, lambda: Encoder(content))
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, path: str | None = None,
@@ -190,7 +189,8 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY,
 
         def work(batch):
             own, piece, begin, length, crc, ids = [], [], [], [], [], []
-            for i, raw in enumerate(own_encoder.encode(common.texts(batch))):
+            encoded = map(own_encoder.encode, common.runs(common.texts(batch), CHARACTERS))
+            for i, raw in enumerate(itertools.chain.from_iterable(encoded)):
                 raw += close
                 for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at:at + 4 * capacity]
